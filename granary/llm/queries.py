@@ -1,8 +1,8 @@
 """The queries of this folder, and SQL for those that SQL can express."""
 
-from granary.llm import licenses, pii, secrets
+from granary.llm import decontaminate, exact_dedup, licenses, mixing, pii, secrets, sharding
 
-_MODULES = (pii, secrets, licenses)
+_MODULES = (mixing, sharding, pii, exact_dedup, secrets, decontaminate, licenses)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
