@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import body, checkpoint, scratch, sized
 
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without space set aside ahead, which would be megabytes for each of many small partitions.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: str = "text") -> Column:
@@ -35,8 +39,9 @@ def update_state(spark: SparkSession, path: str, state_dir: str) -> None:
     ``path`` is a file or a folder.  Each micro-batch is aggregated where it is read, so that a digest
     that many rows share sends one row from each task.
     """
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    old = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
     try:
         # As a pattern, a path may name a single file too.
         stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
@@ -44,7 +49,8 @@ def update_state(spark: SparkSession, path: str, state_dir: str) -> None:
         query = counted.writeStream.outputMode("update").format("noop").option("checkpointLocation", state_dir).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def state(spark: SparkSession, state_dir: str) -> DataFrame:
