@@ -69,18 +69,34 @@ def uniform(hexed: Column) -> Column:
     return (F.conv(F.substring(hexed, 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def running(df: DataFrame, group: str, order: list[str], hexed: str, size: str, *, slices: int = 4096) -> DataFrame:
+#: Into how many ranges of the drawn order each group is cut.
+SLICES = 4096
+
+
+def _group_key(group: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
+
+
+def _slice(hexed: str) -> Column:
+    return F.floor(F.conv(F.substring(hexed, 1, 6), 16, 10).cast("bigint") * SLICES / (1 << 24)).cast("int")
+
+
+def slice_sums(df: DataFrame, group: str, hexed: str, size: str) -> DataFrame:
+    """(group, _g, _s, _sum): the sum of ``size`` for each group and range of ``hexed``, evenly spread hexadecimal digits."""
+    return df.groupBy(group, _group_key(group).alias("_g"), _slice(hexed).alias("_s")).agg(F.sum(size).alias("_sum"))
+
+
+def running(df: DataFrame, sums: DataFrame, group: str, order: list[str], hexed: str, size: str) -> DataFrame:
     """Adds ``_before``, the sum of ``size`` over the rows that come earlier in their group.
 
-    Rows are ordered by ``hexed`` (evenly spread hexadecimal digits), then by ``order``.  A group is
-    cut along that order into ``slices`` ranges, so that one that holds a third of all rows is still
-    summed in many tasks; only the sums of ranges meet.  The cut doesn't change the result.  Rows
-    equal in all of ``order`` may swap places.
+    Rows are ordered by ``hexed``, then by ``order``.  ``sums`` is what ``slice_sums`` says of the same
+    rows.  As a group is cut into ranges, one that holds a third of all rows is still summed in many
+    tasks; only the sums of ranges meet.  The cut doesn't change the result.  Rows equal in all of
+    ``order`` may swap places.
     """
-    cut = df.withColumn("_slice", F.floor(F.conv(F.substring(hexed, 1, 6), 16, 10).cast("bigint") * slices / (1 << 24)).cast("int"))
-    sums = cut.groupBy(F.col(group).alias("_g"), F.col("_slice").alias("_s")).agg(F.sum(size).alias("_sum"))
-    sums = sums.withColumn("_base", F.sum("_sum").over(Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)))
-    within = Window.partitionBy(group, "_slice").orderBy(hexed, *order).rowsBetween(Window.unboundedPreceding, -1)
-    own = cut.withColumn("_own", F.coalesce(F.sum(size).over(within), F.lit(0)))
-    joined = own.join(sums.drop("_sum"), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_slice") == F.col("_s")), "left")
-    return joined.withColumn("_before", F.col("_own") + F.coalesce("_base", F.lit(0))).drop("_own", "_base", "_g", "_s", "_slice")
+    base = F.sum("_sum").over(Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sums.select("_g", "_s", F.coalesce(base, F.lit(0)).alias("_base"))
+    within = Window.partitionBy("_gk", "_sk").orderBy(hexed, *order).rowsBetween(Window.unboundedPreceding, -1)
+    own = df.withColumns({"_gk": _group_key(group), "_sk": _slice(hexed)}).withColumn("_own", F.coalesce(F.sum(size).over(within), F.lit(0)))
+    joined = own.join(sized(bases), (F.col("_gk") == F.col("_g")) & (F.col("_sk") == F.col("_s")))
+    return joined.withColumn("_before", F.col("_own") + F.col("_base")).drop("_own", "_base", "_g", "_s", "_gk", "_sk")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import body, checkpoint, draw, running, table
+from granary.llm.common import body, checkpoint, draw, running, sized, slice_sums, table
 
 #: Shares of the sources in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -77,14 +77,14 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[
     Repeated rows are documents of their own; where rows share an id and a size too, they may swap
     places.  Columns other than doc_id, source, text and those in ``carry`` are ignored.
     """
-    # Texts are read once; what follows works on thin rows.
-    thin = docs.select("doc_id", "source", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], n_words(body()).alias("size"), draw("doc_id").alias("_draw"))
-    thin = checkpoint(thin)
-    sources = thin.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rows = docs.select("doc_id", "source", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], n_words(body()).alias("size"), draw("doc_id").alias("_draw"))
+    # Thin rows are kept, and texts so read once; rows that carry more are read again.
+    rows = rows if carry else checkpoint(rows)
+    sums = checkpoint(slice_sums(rows, "source", "_draw", "size"))
+    sources = sums.groupBy("source").agg(F.sum("_sum").alias("source_size"))
     goal = targets(sources, weights=weights, slopes=slopes, most=most).withColumnRenamed("source", "_source")
-    placed = running(thin, "source", ["doc_id", "size"], "_draw", "size")
-    # Spark may broadcast the sources by their measured size, and otherwise deals both sides out.
-    df = placed.join(goal, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    placed = running(rows, sums, "source", ["doc_id", "size"], "_draw", "size")
+    df = placed.join(sized(checkpoint(goal)), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     budget = F.floor("target")
     df = df.withColumn("_rounds", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint"))
     rest = budget - F.col("_rounds") * F.col("source_size")
@@ -94,7 +94,19 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[
     middle = lambda e: e * F.col("source_size") + F.col("_before") + F.when(e < F.col("_rounds"), F.col("size")).otherwise(F.col("_part")) / 2
     place = lambda e: training_time(F.least(middle(e) / F.greatest(budget, F.lit(1)), F.lit(1.0)), F.col("slope"))
     positions = F.when(copies > 0, F.transform(F.sequence(F.lit(0), copies - 1), place)).otherwise(F.array().cast("array<double>"))
-    return df.select("doc_id", "source", *[F.col(f"_c{i}").alias(f"_c{i}") for i in range(len(carry))], "size", "source_size", "target", "taken", positions.alias("positions"), "_draw")
+    return df.select("doc_id", "source", *[f"_c{i}" for i in range(len(carry))], "size", "source_size", "target", "taken", positions.alias("positions"), "_draw")
+
+
+def training_order(docs: DataFrame, **options) -> DataFrame:
+    """The copies that the mix takes, as rows with the columns of ``docs``, in the order of training.
+
+    A document comes once for each of its positions; the one document of a source that is taken in part
+    comes whole.
+    """
+    mixed = mix(docs.select("doc_id", "source", "text", F.struct("*").alias("_row")), carry=("_row",), **options)
+    copies = mixed.select("_c0", F.explode("positions").alias("_position"), "_draw")
+    # By ranges of the position; the draw breaks ties.
+    return copies.orderBy("_position", "_draw").select("_c0.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

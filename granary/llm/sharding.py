@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import body, checkpoint, draw, running, table, uniform
+from granary.llm.common import body, checkpoint, draw, running, slice_sums, table, uniform
 
 
 @dataclass(frozen=True)
@@ -75,20 +75,29 @@ def assign(df: DataFrame, key: str, tree: Tree, out: str = "shard") -> DataFrame
     return df.withColumn(out, shard.cast("int")).drop("_top", "_rack", "_late")
 
 
-def shard(docs: DataFrame, *, tree: Tree = TREE) -> DataFrame:
+def shard(docs: DataFrame, *, tree: Tree = TREE, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``key``: the id and the tree decide.  ``size`` is the text's bytes, none for null, plus
     ``OVERHEAD``; ``text_crc32`` is unsigned and that of no bytes for null.  ``slot`` counts the rows of
     a shard from 0 without gaps.  ``grown_shard`` is the shard in the tree with one more.  Rows without
     an id share the empty key, and repeated ids share a shard; among rows equal in id, size and crc
-    slots may swap.  Other columns are ignored; an empty table gives an empty one.
+    slots may swap.  Columns in ``carry`` are kept as _c0, _c1 and so on, others are ignored; an empty
+    table gives an empty one.
     """
-    df = docs.select("doc_id", (F.octet_length(body()) + OVERHEAD).cast("bigint").alias("size"), F.crc32(F.encode(body(), "UTF-8")).alias("text_crc32"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"))
+    df = docs.select("doc_id", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], (F.octet_length(body()) + OVERHEAD).cast("bigint").alias("size"), F.crc32(F.encode(body(), "UTF-8")).alias("text_crc32"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"))
     df = assign(assign(df, "_key", tree), "_key", tree.grown(), "grown_shard")
-    df = checkpoint(df.withColumn("_draw", draw("_key")).withColumn("_one", F.lit(1).cast("bigint")).drop("_key"))
-    placed = running(df, "shard", ["doc_id", "size", "text_crc32"], "_draw", "_one")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("_before").cast("bigint").alias("slot"), "grown_shard")
+    df = df.withColumn("_draw", draw("_key")).withColumn("_one", F.lit(1).cast("bigint")).drop("_key")
+    # Thin rows are kept, and texts so read once; rows that carry more are read again.
+    df = df if carry else checkpoint(df)
+    placed = running(df, checkpoint(slice_sums(df, "shard", "_draw", "_one")), "shard", ["doc_id", "size", "text_crc32"], "_draw", "_one")
+    return placed.select("doc_id", *[f"_c{i}" for i in range(len(carry))], "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("_before").cast("bigint").alias("slot"), "grown_shard")
+
+
+def sharded(docs: DataFrame, *, tree: Tree = TREE) -> DataFrame:
+    """``docs`` with ``shard_id`` and ``shard_slot``, ready to be written by shard."""
+    placed = shard(docs.select("doc_id", "text", F.struct("*").alias("_row")), tree=tree, carry=("_row",))
+    return placed.select("_c0.*", F.col("shard").alias("shard_id"), F.col("slot").alias("shard_slot"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
-from granary.llm.mixing import ORACLE_SQL, mix, op1_mixing, targets
+from granary.llm.mixing import ORACLE_SQL, mix, op1_mixing, targets, training_order
 
 
 def fill(sizes):
@@ -65,3 +65,15 @@ def test_oracle(spark):
     assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(con.sql(f"SELECT {', '.join(cols)} FROM ({ORACLE_SQL['op1_mixing']})").fetchall()) or pytest.fail("rows differ")
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     assert all(r.size == len(re.findall(r"[^\x20\x09-\x0D]+", text[r.doc_id])) for r in df.collect())
+
+
+def test_training_order(spark):
+    rows = [(i, "s%d" % (i % 3), " ".join("w" * (i % 7)), i) for i in range(200)] + [(None, None, "a b", 1), (7, "s1", "x y z", 2), (7, "s1", "x y z", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, taken long")
+    out = training_order(df)
+    assert out.columns == df.columns
+    want = Counter()
+    for r in mix(df).collect():
+        want[r.doc_id] += len(r.positions)
+    assert Counter(r.doc_id for r in out.collect()) == +want
+    assert training_order(df.limit(0)).collect() == []

@@ -1,7 +1,7 @@
 import zlib
 from collections import Counter
 
-from granary.llm.sharding import TREE, Tree, assign, even, op2_sharding, shard
+from granary.llm.sharding import TREE, Tree, assign, even, op2_sharding, shard, sharded
 
 
 def keys(spark, n=20000):
@@ -43,6 +43,9 @@ def test_rows(spark):
     assert by[1, 16].text_crc32 == 0 and by[None, 18].text_crc32 == zlib.crc32("é".encode()) and by[None, 18].shard == by[None, 17].shard
     assert all(r.grown_shard in (r.shard, 40) and r.law == "key" for r in got)
     assert shard(df.limit(0)).collect() == []
+    full = sharded(df)
+    assert full.columns == [*df.columns, "shard_id", "shard_slot"]
+    assert sorted((r.shard_id, r.shard_slot) for r in full.collect()) == sorted((r.shard, r.slot) for r in got)
 
 
 def test_query(spark):
