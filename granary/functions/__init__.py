@@ -1,0 +1 @@
+"""Part of Granary, JSON column operators for PySpark."""
