@@ -180,10 +180,10 @@ def _number(text: str, at: int) -> int:
 Event = tuple  # (what, depth, index or key, kind, bytes or lexeme)
 
 
-def events(text: str, meter: Meter, report: Report) -> Iterator[Event]:
+def events(text: str, meter: Meter, report: Report, above: int = 0) -> Iterator[Event]:
     """Admits one document and yields its events: ("value", depth, place, kind, lexeme or None) and ("end", depth).
 
-    ``place`` is none for the root, an index in an array or a key in an object; it is given before a
+    ``above`` is how many containers a fragment stands in.  ``place`` is none for the root, an index in an array or a key in an object; it is given before a
     container's children.  Raises Unfit or Broken.
     """
     open_: list[list] = []  # kind, count, keys seen
@@ -194,7 +194,7 @@ def events(text: str, meter: Meter, report: Report) -> Iterator[Event]:
         i = _SPACE.match(text, i).end()
         c = text[i : i + 1]
         if wants_value:
-            depth = len(open_) + 1
+            depth = len(open_) + 1 + above
             if c in ("{", "["):
                 kind = "object" if c == "{" else "array"
                 meter.value(depth)
@@ -258,7 +258,7 @@ def events(text: str, meter: Meter, report: Report) -> Iterator[Event]:
         elif c == ("]" if top[0] == "array" else "}"):
             i += 1
             open_.pop()
-            yield ("end", len(open_) + 1)
+            yield ("end", len(open_) + 1 + above)
         else:
             raise Unfit(("expected_comma_or_array_end" if top[0] == "array" else "expected_comma_or_object_end") if c else "unexpected_end", i)
 
@@ -289,15 +289,18 @@ def position(text: str, at: int) -> tuple[int, int, int]:
     return len(before.encode("utf-8", "surrogateescape")), len(lines), len(lines[-1]) + 1
 
 
-def scan(text: str | bytes, limits: Limits = Limits()) -> Report:
-    """What there is to say about one document.  Bytes may be no UTF-8; where they aren't, the text fails."""
+def scan(text: str | bytes, limits: Limits = Limits(), above: int = 0) -> Report:
+    """What there is to say about one document, or about a fragment in ``above`` containers.
+
+    Bytes may be no UTF-8; where they aren't, the text fails.
+    """
     if isinstance(text, bytes):
         text = text.decode("utf-8", "surrogateescape")
     report = Report()
     first = text.lstrip(" \n\r\t")[:1]
     report.root = {"{": "object", "[": "array"}.get(first, "other")
     try:
-        for _ in events(text, Meter(limits, report), report):
+        for _ in events(text, Meter(limits, report), report, above):
             pass
         report.valid = True
     except Unfit as e:
@@ -313,7 +316,7 @@ _FIELDS = [("valid", pa.bool_()), ("reason", pa.string()), *[(k, pa.int64()) for
 REPORT = ", ".join(f"{k}: {'boolean' if t == pa.bool_() else 'string' if t == pa.string() else 'bigint'}" for k, t in _FIELDS)
 
 
-def scan_column(text: Column, limits: Limits = Limits()) -> Column:
+def scan_column(text: Column, limits: Limits = Limits(), above: int = 0) -> Column:
     """A struct like Report for each text or binary value; null for null.
 
     Spark doesn't move filters to before this column, as it would then scan once for the filter and once
@@ -322,7 +325,7 @@ def scan_column(text: Column, limits: Limits = Limits()) -> Column:
 
     @F.arrow_udf(f"struct<{REPORT}>")
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([None if (t := x.as_py()) is None else asdict(scan(t, limits)) for x in column], pa.struct(_FIELDS))
+        return pa.array([None if (t := x.as_py()) is None else asdict(scan(t, limits, above)) for x in column], pa.struct(_FIELDS))
 
     return run.asNondeterministic()(text)
 
@@ -330,3 +333,29 @@ def scan_column(text: Column, limits: Limits = Limits()) -> Column:
 def with_scan(df: DataFrame, column: str, out: str = "scan", limits: Limits = Limits()) -> DataFrame:
     """``df`` with the scan of a column."""
     return df.withColumn(out, scan_column(F.col(column), limits))
+
+
+def failure_text(report: Column) -> Column:
+    """Why and where a scan failed, in words; null where it didn't."""
+    reason = F.replace(report["reason"], F.lit("_"), F.lit(" "))
+    return F.when(report["reason"].isNotNull(), F.format_string("%s at line %d column %d (byte offset %d)", reason, report["line"], report["column"], report["offset"]))
+
+
+def utf8_failure(data: bytes) -> tuple[int, int | None] | None:
+    """How many bytes are sound, and how many after them are not: none of the latter if the data ends too early."""
+    try:
+        data.decode()
+    except UnicodeDecodeError as e:
+        return e.start, None if e.reason == "unexpected end of data" else e.end - e.start
+    return None
+
+
+def utf8_failure_column(data: Column) -> Column:
+    """(valid_up_to, error_len) of bytes that are no UTF-8; null for sound ones."""
+
+    @F.arrow_udf("struct<valid_up_to: bigint, error_len: bigint>")
+    def run(column: pa.Array) -> pa.Array:
+        found = [None if (b := x.as_py()) is None else utf8_failure(b) for x in column]
+        return pa.array([f and {"valid_up_to": f[0], "error_len": f[1]} for f in found], pa.struct([("valid_up_to", pa.int64()), ("error_len", pa.int64())]))
+
+    return run(data)

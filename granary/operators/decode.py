@@ -53,6 +53,12 @@ def _error(kind: str, detailed: bool = False, **known: Column) -> Column:
     message = F.lit(_MESSAGES[kind])
     if kind == "unexpected_top_level":
         message = F.concat(message, F.lit(": expected "), known["expected"], F.lit(", got "), known["actual"])
+    if kind == "input_too_large":
+        repaired = "normalized_bytes" in known
+        size = known["normalized_bytes" if repaired else "raw_bytes"].cast("string")
+        message = F.concat(F.lit("Normalized " if repaired else ""), message, F.lit(": "), size, F.lit(" bytes exceed configured limit "), known["maximum"].cast("string"), F.lit(" bytes"))
+    if "resource" in known:
+        message = F.concat(message, F.lit(": "), known["resource"])
     if "line" in known:
         message = F.concat(message, F.lit(" at line "), known["line"].cast("string"), F.lit(" column "), known["column"].cast("string"))
     if detailed and "reason" in known:

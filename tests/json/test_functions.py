@@ -6,7 +6,7 @@ import random
 import pytest
 from granary.functions import measure
 from granary.functions import text as tx
-from granary.functions.scan import scan, scan_column
+from granary.functions.scan import failure_text, scan, scan_column, utf8_failure, utf8_failure_column
 from granary.policy import Limits, Policy
 from pyspark.sql import functions as F
 
@@ -168,3 +168,11 @@ def test_policy_and_session(spark):
         measure.require(spark)
     measure.prepare(spark)
     measure.require(spark)
+
+
+def test_fragments_words_and_utf8(spark):
+    assert scan("[1]", above=3).depth == 5 and scan("[1]", Limits(depth=4), above=3).resource == "depth"
+    df = spark.createDataFrame([("[1 2]", b"ab\xff"), ("[1]", b"ab"), (None, None)], "t string, b binary")
+    assert [r[0] for r in df.select(failure_text(scan_column(F.col("t")))).collect()] == ["expected comma or array end at line 1 column 4 (byte offset 3)", None, None]
+    assert [r[0] and tuple(r[0]) for r in df.select(utf8_failure_column(F.col("b"))).collect()] == [(2, 1), None, None]
+    assert utf8_failure(b"a\xe4\xb8") == (1, None) and utf8_failure(b"\xe4\xb8x") == (0, 2)

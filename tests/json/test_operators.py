@@ -38,6 +38,7 @@ def test_bytes_limits_and_messages(spark):
     assert secret.kind == "invalid_json" and (secret.line, secret.column) == (1, 7) and "SECRET" not in str(secret)
     big = decode(spark.createDataFrame([(' "\n" ',)], "t string"), "t", limits=Limits(normalized_bytes=3)).first().error
     assert (big.kind, big.normalized_bytes, big.maximum) == ("input_too_large", 4, 3)
+    assert big.message == "Normalized JSON input is too large: 4 bytes exceed configured limit 3 bytes"
     with pytest.raises(ValueError):
         decode(df, "t", limits=Limits(depth=1), exact=False)
 
