@@ -106,3 +106,30 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, width: int = 5) -> tuple[np
         got = hashes[np.minimum(begin + j, len(hashes) - 1)]
         total = mix(total * np.uint64(_ODD) + np.where(j < have, got, np.uint64(0)))
     return owner[begin], total
+
+
+class Index:
+    """Finds 64-bit keys in a sorted array of different ones, by their upper bits and then step by step.
+
+    A random key is found in two or three steps, where a binary search would take twenty.
+    """
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(1, int(len(keys)).bit_length()))
+        self.begin = np.searchsorted(keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64))
+
+    def find(self, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each key a place, and whether the key is there."""
+        if not len(self.keys):
+            return np.zeros(len(sought), np.int64), np.zeros(len(sought), bool)
+        group = (sought >> self.shift).astype(np.int64)
+        at, end = self.begin[group], self.begin[group + 1]
+        last = len(self.keys) - 1
+        at = np.minimum(at, last)
+        go = np.flatnonzero((at < end - 1) & (self.keys[at] < sought))
+        while len(go):
+            at[go] += 1
+            here = at[go]
+            go = go[(here < end[go] - 1) & (self.keys[here] < sought[go])]
+        return at, self.keys[at] == sought
