@@ -95,8 +95,9 @@ def shard(docs: DataFrame, *, tree: Tree = TREE, carry: tuple[str, ...] = ()) ->
 
 
 def sharded(docs: DataFrame, *, tree: Tree = TREE) -> DataFrame:
-    """``docs`` with ``shard_id`` and ``shard_slot``, ready to be written by shard."""
-    placed = shard(docs.select("doc_id", "text", F.struct("*").alias("_row")), tree=tree, carry=("_row",))
+    """``docs`` with ``shard_id`` and ``shard_slot``, ready to be written by shard; columns of those names are replaced."""
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard_id", "shard_slot")]
+    placed = shard(docs.select("doc_id", "text", F.struct(*own).alias("_row")), tree=tree, carry=("_row",))
     return placed.select("_c0.*", F.col("shard").alias("shard_id"), F.col("slot").alias("shard_slot"))
 
 

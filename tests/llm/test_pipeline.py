@@ -46,3 +46,20 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     out = corpus_pipeline.run(spark, D)
     assert {"doc_id", "text", "shard_id", "shard_slot"} <= set(out.columns) and out.count() > 0
+
+
+def test_odd_tables(spark):
+    """Nulls everywhere, repeated rows, odd and clashing names, and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row int, kept boolean, value string, `a b` int, shard_id int, n_tokens long"
+    rows = [(None,) * 11, (None,) * 11, (1, None, None, None, None, 1, True, "v", 2, 3, 4), (2, "", "en", "s", 0, None, None, None, None, None, None)]
+    rows += [(i, f"word{i} " * 20 + "the end of it all", "en", f"s{i % 3}", 1, 2, False, "w", 3, 4, 5) for i in range(3, 40)] * 2
+    rows.append((99, "long " * 60_000, "en", None, 1, 1, True, "x", 1, 1, 1))
+    df = spark.createDataFrame(rows, schema)
+    for docs in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, D)
+            assert [c for c in out.columns if c not in ("shard_id", "shard_slot")] == [c for c in docs.columns if c != "shard_id"], name
+            got = out.collect()
+            assert bool(got) == (docs is df), name
+            if name == "near_duplicates" and got:
+                assert Counter(r.doc_id for r in got)[5] == 1
