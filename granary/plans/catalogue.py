@@ -159,11 +159,11 @@ def q_validate_hostile(t):
     return validate(validate(df, "text"), "text", exact=True, out="exact").select("event_id", "valid", "exact")
 
 
-@query(f"SELECT event_id, {sql_pick('event_id', _REASON)} AS reason, CAST({sql_pick('event_id', _OFFSET)} AS BIGINT) AS at FROM events")
+@query(f"SELECT event_id, {sql_pick('event_id', _REASON)} AS reason, CAST(coalesce({sql_pick('event_id', _OFFSET)}, -1) AS BIGINT) AS at FROM events")
 def q_syntax_reason(t):
-    """Why and where texts fail."""
+    """Why and where texts fail; -1 where they don't."""
     df = t("events").select("event_id", scan_column(pick("event_id", HOSTILE)).alias("s"))
-    return df.select("event_id", "s.reason", F.col("s.offset").alias("at"))
+    return df.select("event_id", "s.reason", F.coalesce("s.offset", F.lit(-1)).cast("bigint").alias("at"))
 
 
 @query("""
@@ -200,18 +200,18 @@ _USER_ERROR = [None, "deserialize", "deserialize", "deserialize", "deserialize",
 
 
 @query(f"""
-SELECT event_id, {sql_pick('event_id', ['Ann', None, None, None, None, None, None, 'Fy', None, None, None])} AS name, CAST({sql_pick('event_id', [30, None, None, None, None, None, None, 0, None, None, None])} AS SMALLINT) AS age,
+SELECT event_id, {sql_pick('event_id', ['Ann', None, None, None, None, None, None, 'Fy', None, None, None])} AS name, CAST(coalesce({sql_pick('event_id', [30, None, None, None, None, None, None, 0, None, None, None])}, -1) AS BIGINT) AS age,
        {sql_pick('event_id', _USER_ERROR)} AS kind, {sql_pick('event_id', [e and {'deserialize': 'deserialize', 'unexpected_top_level': 'top_level_check', 'invalid_json': 'parse', 'empty_input': 'normalize'}[e] for e in _USER_ERROR])} AS stage
 FROM events
 """)
 def q_decode_typed(t):
-    """Typed decoding, and how it fails."""
+    """Typed decoding, and how it fails; an age of -1 for none."""
     texts = [F.lit(u) for u in USERS]
     df = t("events").select("event_id", F.element_at(F.array(*texts), (F.col("event_id") % len(USERS) + 1).cast("int")).alias("text"))
     df = decode_object(df, "text", "name string not null, age smallint not null")
     # Ages are bytes without sign in the type that is asked for.
     over = F.col("value.age") > 255
-    return df.select("event_id", F.when(~over, F.col("value.name")).alias("name"), F.when(~over, F.col("value.age")).alias("age"), F.when(over, "deserialize").otherwise(F.col("error.kind")).alias("kind"), F.when(over, "deserialize").otherwise(F.col("error.stage")).alias("stage"))
+    return df.select("event_id", F.when(~over, F.col("value.name")).alias("name"), F.coalesce(F.when(~over, F.col("value.age")), F.lit(-1)).cast("bigint").alias("age"), F.when(over, "deserialize").otherwise(F.col("error.kind")).alias("kind"), F.when(over, "deserialize").otherwise(F.col("error.stage")).alias("stage"))
 
 
 @query(f"""
@@ -269,14 +269,14 @@ def q_nodes_depth_payload(t):
 
 @query("""
 SELECT conv_id, turn, CASE WHEN strlen(role) > 6 THEN 'string_bytes' WHEN turn > 3 THEN 'items' END AS resource,
-       CASE WHEN strlen(role) > 6 THEN strlen(role) WHEN turn > 3 THEN 4 END AS observed FROM conversations
+       CAST(CASE WHEN strlen(role) > 6 THEN strlen(role) WHEN turn > 3 THEN 4 ELSE -1 END AS BIGINT) AS observed FROM conversations
 """)
 def q_point_limits(t):
     """The first limit that a document breaks, in the order of the text."""
     items = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.col("turn"), F.lit(0))), lambda i: F.lit("1")), ",")
     text = F.concat(F.lit('{"role":"'), "role", F.lit('","n":['), F.when(F.col("turn") > 0, F.substring(items, F.lit(3), F.length(items))).otherwise(""), F.lit("]}"))
     s = scan_column(F.col("text"), Limits(string_bytes=6, items=3))
-    return t("conversations").select("conv_id", "turn", text.alias("text")).withColumn("s", s).select("conv_id", "turn", "s.resource", "s.observed")
+    return t("conversations").select("conv_id", "turn", text.alias("text")).withColumn("s", s).select("conv_id", "turn", "s.resource", F.coalesce("s.observed", F.lit(-1)).cast("bigint").alias("observed"))
 
 
 @query(f"SELECT event_id, {sql_pick('event_id', ['depth', 'nodes', 'nodes'])} AS lexical, {sql_pick('event_id', ['depth', 'items', None])} AS tree FROM events")
