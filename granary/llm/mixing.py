@@ -113,7 +113,9 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     first = F.get("positions", F.lit(0))
     thin = mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"), F.size("positions").alias("copies"), "_draw")
-    return thin.orderBy(F.col("first_position").asc_nulls_last(), "_draw").drop("_draw")
+    ordered = thin.orderBy(F.col("first_position").asc_nulls_last(), "_draw").drop("_draw")
+    # Documents that the mix doesn't take stand last, with -1.
+    return ordered.withColumn("first_position", F.coalesce("first_position", F.lit(-1.0)))
 
 
 ORACLE_SQL = {
@@ -149,7 +151,7 @@ m AS (
     least((before + CASE WHEN rounds > 0 THEN size ELSE part END / 2.0::DOUBLE) / greatest(budget, 1), 1.0::DOUBLE) AS mid
   FROM q)
 SELECT doc_id, size, source_size, target, CAST(rounds * size + part AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies,
-  CASE WHEN copies > 0 THEN 2 * mid / ((1 - slope) + sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * mid, 0))) END AS first_position
+  CASE WHEN copies > 0 THEN 2 * mid / ((1 - slope) + sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * mid, 0))) ELSE -1 END AS first_position
 FROM m
 """
 }
