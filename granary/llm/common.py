@@ -2,45 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only after its rows were counted and found to be this few.
-BROADCAST_ROWS = 300_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from granary.sources.scratch import checkpoint, scratch, shared_dir
 
+__all__ = ["body", "checkpoint", "draw", "running", "scratch", "shared_dir", "sized", "slice_sums", "table", "uniform"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: the cluster's checkpoint folder.
-
-    Where the session names none (tests on one machine), a temporary one is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="granary-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
+#: A side of a join is broadcast only after its rows were counted and found to be this few.
+BROADCAST_ROWS = 300_000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that a lost executor costs nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Rows that Python workers get at once; texts may be long.
+ARROW_ROWS = 1000
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the input tables; the session's batches to Python are held to ARROW_ROWS."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
