@@ -31,6 +31,11 @@ def require(spark: SparkSession) -> None:
         raise RuntimeError(f"{DUPLICATES} must be true; call granary.functions.measure.prepare(spark) once")
 
 
+def _alone(text: Column) -> Column:
+    """True if an escape of a lone surrogate is left once pairs and escaped backslashes are gone."""
+    return F.regexp_replace(F.regexp_replace(text, r"\\\\", ""), _PAIR, "").rlike(r"\\u[dD][89a-fA-F]")
+
+
 def is_valid(text: Column) -> Column:
     """True if the text is exactly one JSON value and white space around it.
 
@@ -39,9 +44,15 @@ def is_valid(text: Column) -> Column:
     """
     parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_SENTINEL}"]')))
     whole = let(parsed, lambda v: F.try_variant_get(v, "$[1]", "string").eqNullSafe(F.lit(_SENTINEL)) & F.try_variant_get(v, "$[2]", "string").isNull() & F.is_variant_null(v).eqNullSafe(F.lit(False)))
-    alone = F.regexp_replace(F.regexp_replace(text, r"\\\\", ""), _PAIR, "").rlike(r"\\u[dD][89a-fA-F]")
     blank = text.rlike(r"^[ \n\r\t]*+$")
-    return F.when(text.isNull(), F.lit(None).cast("boolean")).otherwise(whole & ~blank & ~F.when(F.contains(text, F.lit("\\u")), alone).otherwise(False))
+    return F.when(text.isNull(), F.lit(None).cast("boolean")).otherwise(whole & ~blank & ~F.when(F.contains(text, F.lit("\\u")), _alone(text)).otherwise(False))
+
+
+def parsed(text: Column) -> Column:
+    """The text as a variant, or null unless ``is_valid`` holds; parsed once."""
+    every = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_SENTINEL}"]')))
+    whole = let(every, lambda v: F.when(F.try_variant_get(v, "$[1]", "string").eqNullSafe(F.lit(_SENTINEL)) & F.try_variant_get(v, "$[2]", "string").isNull(), F.try_variant_get(v, "$[0]", "variant")))
+    return F.when(~(text.rlike(r"^[ \n\r\t]*+$") | F.when(F.contains(text, F.lit("\\u")), _alone(text)).otherwise(False)), whole)
 
 
 def shape(text: Column) -> Column:

@@ -84,14 +84,11 @@ def escape_each(text: Column) -> Column:
     common = text
     for c in "\n\t\r":
         common = F.replace(common, F.lit(c), F.lit(ESCAPES[c]))
-
-    def rest(t: Column) -> Column:
-        for c, e in ESCAPES.items():
-            if c not in "\n\t\r":
-                t = F.replace(t, F.lit(c), F.lit(e))
-        return t
-
-    return let(common, lambda t: F.when(t.rlike("[\\x00-\\x1f]"), rest(t)).otherwise(t))
+    every = common
+    for c, e in ESCAPES.items():
+        if c not in "\n\t\r":
+            every = F.replace(every, F.lit(c), F.lit(e))
+    return F.when(text.rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"), every).otherwise(common)
 
 
 def escape_controls(text: Column) -> Column:
@@ -104,7 +101,7 @@ def escape_controls(text: Column) -> Column:
     def piece(p: Column) -> Column:
         # A backslash before a control character goes, and comes back with the escape.
         bare = F.regexp_replace(p, r"(?s)(\\[^\x00-\x1f])|\\(?=[\x00-\x1f])", "$1")
-        return F.when(F.startswith(p, F.lit('"')) & p.rlike("[\\x00-\\x1f]"), escape_each(bare)).otherwise(p)
+        return F.when(F.startswith(p, F.lit('"')) & p.rlike("[\\x00-\\x1f]"), let(bare, escape_each)).otherwise(p)
 
     return F.when(text.rlike("[\\x00-\\x1f]") & F.contains(text, F.lit('"')), F.array_join(F.transform(pieces, piece), "")).otherwise(text)
 
@@ -121,6 +118,9 @@ def unwrapped(text: Column, policy: Policy) -> Column:
     out = text
     for step in steps:
         out = let(out, step)
+    if policy.trim and len(steps) > 1:
+        # Most texts begin with neither mark nor fence, and only white space comes off.
+        return F.when(text.rlike(f"^[{WHITE}]*+[{BOM}`~]"), out).otherwise(trim(text))
     return out
 
 

@@ -159,7 +159,15 @@ def decode(df: DataFrame, column: str, *, schema: str | T.DataType | None = None
         # The scan stays out of the inner expression: a Python function can't be called there.
         df = df.withColumn("_second", let(F.when(valid, ready), lambda t: let(parsed(t), lambda v: F.struct(v.alias("value"), F.when(t.isNotNull(), wrong(t, v)).alias("wrong")))))
     else:
-        whole = lambda t: let(measure.is_valid(t), lambda ok: let(F.when(ok, parsed(t)), lambda v: F.struct(v.alias("value"), F.when(ok, wrong(t, v)).alias("wrong"), ok.alias("ok"), measure.root_kind(t).alias("kind"))))
+
+        def whole(t: Column) -> Column:
+            def with_json(j: Column) -> Column:
+                given = j if typed is None else F.when(j.isNotNull(), F.from_json(t, typed))
+                fault = lambda v: F.lit(False) if typed is None else F.when(j.isNotNull(), misfit(j, v, typed, True))
+                return let(given, lambda v: F.struct(v.alias("value"), fault(v).alias("wrong"), j.isNotNull().alias("ok"), measure.root_kind(t).alias("kind")))
+
+            return let(measure.parsed(t), with_json)
+
         df = df.withColumn("_second", let(ready, whole))
         repeated = F.lit(False)
         kind, valid = F.col("_second")["kind"], F.coalesce(F.col("_second")["ok"], F.lit(False))

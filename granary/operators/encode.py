@@ -15,7 +15,7 @@ from granary.policy import Limits
 def quoted(text: Column) -> Column:
     """A JSON string; control characters as escapes in lower case."""
     marked = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    safe = let(marked, lambda t: F.when(t.rlike("[\\x00-\\x1f]"), escape_each(t)).otherwise(t))
+    safe = F.when(text.rlike("[\\x00-\\x1f]"), escape_each(marked)).otherwise(marked)
     return F.concat(F.lit('"'), F.when(text.rlike('["\\\\\\x00-\\x1f]'), safe).otherwise(text), F.lit('"'))
 
 
@@ -36,8 +36,8 @@ def float_text(x: Column) -> Column:
         shown = F.when(power.between(0, 15), long).when(power.between(-5, -1), small).otherwise(scientific)
         return F.when(F.contains(t, F.lit("E")), F.concat(sign, shown)).otherwise(t)
 
-    text = x.cast("string")
-    return F.when(text.rlike("[0-9]"), let(text, parts))
+    # Named once: the JVM prints a number slowly.
+    return let(x.cast("string"), lambda t: F.when(t.rlike("[0-9]"), parts(t)))
 
 
 def byte_array(x: Column) -> Column:
