@@ -33,6 +33,10 @@ def _located(df: DataFrame) -> DataFrame:
     return df.withColumn("digest", F.sha2(F.col("norm"), 256))
 
 
+#: Files in a micro-batch: what is read again if a run is broken off.
+FILES_A_BATCH = 10_000
+
+
 def update_state(spark: SparkSession, path: str, state_dir: str) -> None:
     """Takes the Parquet files at ``path`` that are new since the last call into the state.
 
@@ -44,7 +48,7 @@ def update_state(spark: SparkSession, path: str, state_dir: str) -> None:
         spark.conf.set(k, v)
     try:
         # As a pattern, a path may name a single file too.
-        stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+        stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", FILES_A_BATCH).parquet(f"{path[:-1]}[{path[-1]}]")
         counted = _located(stream).groupBy("digest").agg(F.min("loc").alias("loc"), F.count(F.lit(1)).alias("n"))
         query = counted.writeStream.outputMode("update").format("noop").option("checkpointLocation", state_dir).trigger(availableNow=True).start()
         query.awaitTermination()
