@@ -134,55 +134,57 @@ def decode(df: DataFrame, column: str, *, schema: str | T.DataType | None = None
             out = F.when(condition, problem).otherwise(out)
         return out
 
-    # Each step is one expression that names what it starts from once, so that filters which Spark moves
-    # through these columns stay small.
     repaired = lambda t: let(unwrapped(t, policy), escape_controls) if policy.escape_controls else unwrapped(t, policy)
-    df = df.withColumn("_first", let(text, lambda t: let(F.when(fits & sound, repaired(t)), lambda n: F.struct(n.alias("norm"), early(t, n).alias("early")))))
-    first = F.col("_first")
-    ready = F.when(first["early"].isNull(), first["norm"])
-    sizes = {"raw_bytes": size, "normalized_bytes": F.octet_length(first["norm"]).cast("bigint")}
     typed = None if schema is None else schema if isinstance(schema, T.DataType) else T._parse_datatype_string(schema)
+    first = lambda t: let(F.when(fits & sound, repaired(t)), lambda n: F.struct(n.alias("norm"), early(t, n).alias("early")))
 
-    def parsed(t: Column) -> Column:
-        return F.try_parse_json(t) if typed is None else F.from_json(t, typed)
+    def typed_value(t: Column, j: Column) -> Column:
+        return j if typed is None else F.when(j.isNotNull(), F.from_json(t, typed))
 
-    def wrong(t: Column, v: Column) -> Column:
-        return F.lit(False) if typed is None else let(F.try_parse_json(t), lambda j: misfit(j, v, typed, True))
+    def fault(j: Column, v: Column) -> Column:
+        return F.lit(False) if typed is None else F.when(j.isNotNull(), misfit(j, v, typed, True))
+
+    def outcome(f: Column, valid: Column, kind: Column, syntax: Column, value_: Column, wrong: Column) -> Column:
+        """(value, error): of errors, the earliest stage counts."""
+        sizes = {"raw_bytes": size, "normalized_bytes": F.octet_length(f["norm"]).cast("bigint")}
+        late = syntax
+        if root is not None:
+            late = late.when(valid & (kind != root), _error("unexpected_top_level", **sizes, expected=F.lit(root), actual=kind))
+        if typed is not None:
+            late = late.when(valid & wrong, _error("deserialize", **sizes))
+        problem = F.when(raw.isNotNull(), F.coalesce(f["early"], late))
+        return let(problem, lambda e: F.struct(F.when(e.isNull(), value_).alias("value"), e.alias("error")))
 
     if exact:
-        df = df.withColumn("_scan", scan_column(ready, limits))
+        df = df.withColumn("_first", let(text, first))
+        f = F.col("_first")
+        df = df.withColumn("_scan", scan_column(F.when(f["early"].isNull(), f["norm"]), limits))
         s = F.col("_scan")
-        kind, valid = s["root"], F.coalesce(s["valid"], F.lit(False))
-        late = F.when(s["reason"].isNotNull(), _error("invalid_json", policy.detailed, **sizes, **{k: s[k] for k in ("offset", "line", "column", "reason")}))
-        late = late.when(s["resource"].isNotNull(), _error("budget", **sizes, **{k: s[k] for k in ("resource", "observed", "maximum", "requested", "remaining")}))
+        valid = F.coalesce(s["valid"], F.lit(False))
+        sizes = {"raw_bytes": size, "normalized_bytes": F.octet_length(f["norm"]).cast("bigint")}
+        syntax = F.when(s["reason"].isNotNull(), _error("invalid_json", policy.detailed, **sizes, **{k: s[k] for k in ("offset", "line", "column", "reason")}))
+        syntax = syntax.when(s["resource"].isNotNull(), _error("budget", **sizes, **{k: s[k] for k in ("resource", "observed", "maximum", "requested", "remaining")}))
         repeated = s["root_duplicate"] if isinstance(typed, T.StructType) else F.lit(False)
-        # The scan stays out of the inner expression: a Python function can't be called there.
-        df = df.withColumn("_second", let(F.when(valid, ready), lambda t: let(parsed(t), lambda v: F.struct(v.alias("value"), F.when(t.isNotNull(), wrong(t, v)).alias("wrong")))))
+        # Parsing stays apart from the scan: a Python function can't be called in an inner expression.
+        made = let(F.when(valid, f["norm"]), lambda t: let(F.try_parse_json(t), lambda j: let(typed_value(t, j), lambda v: F.struct(v.alias("value"), fault(j, v).alias("wrong")))))
+        df = df.withColumn("_second", made)
+        df = df.withColumn("_out", outcome(f, valid, s["root"], syntax, F.col("_second")["value"], F.col("_second")["wrong"] | repeated))
     else:
 
-        def whole(t: Column) -> Column:
-            def with_json(j: Column) -> Column:
-                given = j if typed is None else F.when(j.isNotNull(), F.from_json(t, typed))
-                fault = lambda v: F.lit(False) if typed is None else F.when(j.isNotNull(), misfit(j, v, typed, True))
-                return let(given, lambda v: F.struct(v.alias("value"), fault(v).alias("wrong"), j.isNotNull().alias("ok"), measure.root_kind(t).alias("kind")))
-
-            return let(measure.parsed(t), with_json)
-
-        df = df.withColumn("_second", let(ready, whole))
-        repeated = F.lit(False)
-        kind, valid = F.col("_second")["kind"], F.coalesce(F.col("_second")["ok"], F.lit(False))
-        late = F.when(first["early"].isNull() & ~F.col("_second")["ok"], _error("invalid_json", **sizes))
-    second = F.col("_second")
-    if root is not None:
-        late = late.when(valid & (kind != root), _error("unexpected_top_level", **sizes, expected=F.lit(root), actual=kind))
-    if typed is not None:
-        late = late.when(valid & (second["wrong"] | repeated), _error("deserialize", **sizes))
-    # Of errors, the earliest stage counts; for a null text there is neither value nor error.
-    df = df.withColumn("_problem", F.when(raw.isNotNull(), F.coalesce(first["early"], late)))
-    df = df.withColumn(value, F.when(F.col("_problem").isNull(), second["value"])).withColumn(error, F.col("_problem"))
+        def whole(f: Column) -> Column:
+            def with_json(t: Column, j: Column) -> Column:
+                sizes = {"raw_bytes": size, "normalized_bytes": F.octet_length(f["norm"]).cast("bigint")}
+                syntax = F.when(f["early"].isNull() & j.isNull(), _error("invalid_json", **sizes))
+                return let(typed_value(t, j), lambda v: outcome(f, j.isNotNull(), measure.root_kind(t), syntax, v, fault(j, v)))
+
+            return let(F.when(f["early"].isNull(), f["norm"]), lambda t: let(measure.parsed(t), lambda j: with_json(t, j)))
+
+        # All in one expression that names its input once, so that a filter which Spark moves through it stays small.
+        df = df.withColumn("_out", let(text, lambda t: let(first(t), whole)))
+    df = df.withColumn(value, F.col("_out")["value"]).withColumn(error, F.col("_out")["error"])
     if scan and exact:
         df = df.withColumn(scan, F.col("_scan"))
-    return df.drop("_first", "_second", "_scan", "_problem")
+    return df.drop("_first", "_second", "_scan", "_out")
 
 
 def decode_strict(df: DataFrame, column: str, schema: str | None = None, **options) -> DataFrame:
