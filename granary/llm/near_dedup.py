@@ -2,8 +2,9 @@
 
 Documents whose word sequences are equal are first put together, so that everything after works on
 different texts.  Texts that agree in a band meet in a bucket.  A bucket doesn't emit all its pairs: texts
-gather around leaders, and only links that the classes need are verified.  Verified links, by the shingle
-multisets of the whole texts, make the classes.
+gather around leaders, and links around them are verified first, by the shingle multisets of the whole
+texts.  Texts of large buckets that these links leave apart are then compared block against block, each with
+each, and only links that join two classes come out.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ MAYBE = 0.68
 ALL_PAIRS, PART = 48, 2048
 #: A text this near to its leader by estimate needs no other link within its gathering; others get PARTNERS more.
 SURE, PARTNERS = 0.87, 10
+#: Texts of one large bucket that are still apart are compared each with each, in cells of two blocks of about so many.
+BLOCK = 512
 #: Texts are worked on in slices of about so many bytes.
 _SLICE = 4 << 20
 
@@ -86,12 +89,12 @@ def sign(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, node long, twin long, sig binary, bands array<long>")
 
 
-def _agree(sigs: np.ndarray) -> np.ndarray:
-    """Estimated similarity of each to each, from one-byte registers and without the agreements that are chance."""
+def _agree(sigs: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Estimated similarity of each to each other, from one-byte registers and without the agreements that are chance."""
     n, registers = sigs.shape
-    same = np.empty((n, n), np.float32)
+    same = np.empty((n, len(others)), np.float32)
     for i in range(0, n, 32):
-        same[i : i + 32] = (sigs[i : i + 32, None, :] == sigs[None, :, :]).sum(axis=2)
+        same[i : i + 32] = (sigs[i : i + 32, None, :] == others[None, :, :]).sum(axis=2)
     return (same / registers - 1 / 256) / (1 - 1 / 256)
 
 
@@ -103,7 +106,7 @@ def links_of(sigs: np.ndarray) -> tuple[np.ndarray, list[int]]:
     is paired with all leaders that it may be similar to, with the PARTNERS most similar members of other
     gatherings, and, unless it is surely similar to its leader, with the PARTNERS most similar of all.
     """
-    n, like = len(sigs), _agree(sigs)
+    n, like = len(sigs), _agree(sigs, sigs)
     np.fill_diagonal(like, -1)
     maybe = like >= MAYBE
     if n <= ALL_PAIRS:
@@ -128,16 +131,22 @@ def links_of(sigs: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0), leaders
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes to verify; ``texts`` has node, sig and bands, a row for each node.
-
-    A bucket of more than PART texts is dealt out in parts; their leaders meet in the second round, and if
-    they still are more than one part, each part of leaders meets each other part in the third.
-    """
+def buckets(texts: DataFrame) -> DataFrame:
+    """(key, node, n): the bands that several texts share; ``texts`` has node, sig and bands, a row for each node."""
     keyed = texts.select("node", F.explode("bands").alias("key"))
     # Most bands hold one text; only the others are looked at.
     full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = checkpoint(keyed.join(full, "key")).join(texts.select("node", "sig"), "node")
+    return checkpoint(keyed.join(full, "key"))
+
+
+def candidates(shared: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes to verify; ``shared`` is what ``buckets`` says of ``texts``.
+
+    A bucket of more than PART texts is dealt out in parts; their leaders meet in the second round, and if
+    they still are more than one part, each part of leaders meets each other part in the third.  Pairs of
+    texts that only others in large buckets tell apart are left to ``missed``.
+    """
+    rows = shared.join(texts.select("node", "sig"), "node")
     out = None
     for last in (False, False, True):
         n_parts = F.ceil(F.col("n") / PART).cast("int")
@@ -195,6 +204,139 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batch_of(out)
 
 
+def _apart(key: int, one: tuple, two: tuple, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``one`` and ``two`` (sigs, roots, bands) that may be similar and have different roots."""
+    for i in range(0, len(one[0]), 32):
+        sigs, roots, _ = (x[i : i + 32] for x in one)
+        x, y = np.nonzero((_agree(sigs, two[0]) >= MAYBE) & (roots[:, None] != two[1][None, :]))
+        if same:
+            x, y = x[y > x + i], y[y > x + i]
+        yield x + i, y
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Table]]:
+    """Rows that follow each other with one (key, cell), put together."""
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
+        for i, k in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows]):
+            if held and held[0][:2] != (key[i], cell[i]):
+                yield (*held[0][:2], pa.Table.from_batches([x[2] for x in held]))
+                held = []
+            held.append((key[i], cell[i], batch.slice(i, k - i)))
+    if held:
+        yield (*held[0][:2], pa.Table.from_batches([x[2] for x in held]))
+
+
+def _sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple, tuple, bool]:
+    """Rows of the cell's two blocks, what ``_apart`` asks of them, and whether both blocks are the same."""
+    block, root = cell["block"].to_numpy(), cell["root"].to_numpy()
+    sigs = np.frombuffer(b"".join(cell["sig"].to_pylist()), np.uint8).reshape(cell.num_rows, -1)
+    bands = cell["bands"].combine_chunks().flatten().to_numpy().reshape(cell.num_rows, -1)
+    x, y = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    return x, y, (sigs[x], root[x], bands[x]), (sigs[y], root[y], bands[y]), bool(block.min() == block.max())
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (key, cell, node, block) that are in a pair of their cell which must be verified."""
+    for key, _, cell in _cells(batches):
+        x, y, one, two, same = _sides(cell)
+        seen = np.zeros(cell.num_rows, bool)
+        for i, k in _apart(key, one, two, same):
+            seen[x[i]] = seen[y[k]] = True
+        if seen.any():
+            yield from cell.filter(pa.array(seen)).select(["key", "cell", "node", "block"]).combine_chunks().to_batches()
+
+
+def _features(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """For each row a range of a flat array of numbers, one for each shingle and its how-manieth time; none if the text isn't the node's."""
+    found, lengths = [], []
+    for chunk in cell.select(["node", "text"]).to_batches():
+        for i, k in _slices(chunk.column(1)):
+            part = chunk.slice(i, k - i)
+            hashes, counts = _hashed(part.column(1))
+            owner, sh = shingles(hashes, counts, WIDTH)
+            # An id may stand for several texts.
+            own = (fingerprints(hashes, counts)[0].view(np.int64) == part.column(0).to_numpy())[owner]
+            owner, sh = owner[own], sh[own]
+            order = np.lexsort((sh, owner))
+            owner, sh = owner[order], sh[order]
+            start = np.r_[True, (owner[1:] != owner[:-1]) | (sh[1:] != sh[:-1])][: len(sh)]
+            at = np.arange(len(sh))
+            times = at - np.maximum.accumulate(np.where(start, at, 0))
+            found.append(mix(sh + mix(times.astype(np.uint64))))
+            lengths.append(np.bincount(owner.astype(np.int64), minlength=part.num_rows))
+    flat = np.unique(np.concatenate(found), return_inverse=True)[1]
+    return flat, np.r_[0, np.cumsum(np.concatenate(lengths))]
+
+
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of roots that a verified pair of the cell joins; pairs that are joined already give nothing."""
+    for key, _, cell in _cells(batches):
+        flat, at = _features(cell)
+        size = np.diff(at)
+        label = cell["root"].to_numpy().copy()
+        mark = np.zeros(len(flat) + 1, bool)
+        x, y, one, two, same = _sides(cell)
+        links = []
+        for xs, ys in _apart(key, one, two, same):
+            for i in np.unique(xs):
+                r, others = x[i], y[ys[xs == i]]
+                mine = flat[at[r] : at[r + 1]]
+                mark[mine] = True
+                others = others[(size[others] > 0) & (label[others] != label[r])]
+                for some in np.split(others, np.flatnonzero(np.diff(np.cumsum(size[others]) >> 20)) + 1):
+                    if not len(some) or not len(mine):
+                        continue
+                    begin = firsts(size[some])
+                    gathered = mark[flat[np.arange(size[some].sum()) + np.repeat(at[some] - begin, size[some])]]
+                    both = np.add.reduceat(gathered, begin, dtype=np.int64)
+                    for other in some[both / (size[r] + size[some] - both) >= LEAST]:
+                        if label[other] != label[r]:
+                            links.append((label[r], label[other]))
+                            label[label == label[other]] = label[r]
+                mark[mine] = False
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+
+
+def missed(shared: DataFrame, texts: DataFrame, linked: DataFrame, bodies_of, least: int) -> DataFrame:
+    """(node, root) of the classes of ``linked`` that similar texts in buckets of more than ``least`` still join; node is the class's root.
+
+    In a bucket whose texts are of several classes, every text outside of the bucket's largest class meets
+    every other text of the bucket: both are dealt out in blocks, and each pair of blocks is a cell.  Cells
+    first tell which texts are in a pair that may be similar; only these get their texts, and links within a
+    cell that join nothing new are left out, so a cell gives fewer links than it has texts.
+    """
+    large = shared.filter(F.col("n") > least)
+    if large.limit(1).count() == 0:
+        return linked.limit(0)
+    rooted = checkpoint(large.select("key", "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    by_class = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    n_blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    main = F.max(F.struct("n", "root"))
+    uneven = by_class.groupBy("key").agg(main["root"].alias("main"), n_blocks(F.sum("n") - main["n"]).alias("others"), n_blocks(main["n"]).alias("mains"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    rows = rooted.join(uneven, "key").withColumn("_other", F.col("root") != F.col("main"))
+    dealt = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("_other"), dealt(F.col("others"))).otherwise(F.col("others") + dealt(F.col("mains"))))
+    # Blocks of the largest class meet the others only.
+    meets = F.explode(F.sequence(F.lit(0), F.when(F.col("_other"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1))
+    rows = rows.select("key", "node", "root", "block", (F.col("others") + F.col("mains")).cast("long").alias("_all"), meets.alias("_to"))
+    cells = rows.select("key", (F.least("block", "_to") * F.col("_all") + F.greatest("block", "_to")).alias("cell"), "node", "block", "root").join(texts.select("node", "sig", "bands"), "node")
+    cells = cells.select("key", "cell", "node", "block", "root", "sig", "bands").repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
+    found = checkpoint(cells.mapInArrow(_open, "key long, cell long, node long, block int"))
+    if found.limit(1).count() == 0:
+        return linked.limit(0)
+    nodes = found.select("node").distinct()
+    named = texts.select("node", "sig", "bands").join(nodes, "node", "left_semi").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    whole = checkpoint(named.join(bodies_of(nodes), "node"))
+    cells = found.join(whole, "node").select("key", "cell", "node", "block", "root", "sig", "bands", "text").repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
+    return components(cells.mapInArrow(_join, "a long, b long"))
+
+
 def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs whose multisets of shingles overlap enough; ``bodies`` has (node, text), rows for the same node alike."""
 
@@ -236,14 +378,20 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     ids = signed.groupBy("node", "twin").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     texts = signed.filter("sig is not null").select("node", "sig", "bands").dropDuplicates(["node"])
     texts = checkpoint(texts)
-    pairs = checkpoint(candidates(texts))
+    shared = buckets(texts)
+    pairs = checkpoint(candidates(shared, texts))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = checkpoint(ids)
-    sought = checkpoint(ids.join(needed, "node", "left_semi").select("node", "least").dropDuplicates(["node"]))
     slim = docs.select("doc_id", "text")
-    bodies = slim.join(sized(sought), F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text")
-    linked = components(verify(pairs, bodies))
+
+    def bodies_of(nodes: DataFrame) -> DataFrame:
+        sought = checkpoint(ids.join(nodes, "node", "left_semi").select("node", "least").dropDuplicates(["node"]))
+        return slim.join(sized(sought), F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text")
+
+    linked = components(verify(pairs, bodies_of(needed)))
+    joined = missed(shared, texts, linked, bodies_of, PART).select(F.col("node").alias("root"), F.col("root").alias("_whole"))
     classes = ids.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = classes.join(joined, "root", "left").withColumn("root", F.coalesce("_whole", "root")).drop("_whole")
     whole = classes.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     classes = checkpoint(classes.join(whole, "root").select("node", "twin", "copies", "root", "class_id", "class_size"))
     # A text with many copies has many rows on one side and one on the other.
