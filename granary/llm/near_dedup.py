@@ -205,13 +205,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _apart(key: int, one: tuple, two: tuple, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of ``one`` and ``two`` (sigs, roots, bands) that may be similar and have different roots."""
+    """Rows of ``one`` and ``two`` (sigs, roots, bands) that may be similar, have different roots, and share no band before ``key``."""
     for i in range(0, len(one[0]), 32):
-        sigs, roots, _ = (x[i : i + 32] for x in one)
+        sigs, roots, bands = (x[i : i + 32] for x in one)
         x, y = np.nonzero((_agree(sigs, two[0]) >= MAYBE) & (roots[:, None] != two[1][None, :]))
         if same:
             x, y = x[y > x + i], y[y > x + i]
-        yield x + i, y
+        first = (bands[x] == two[2][y]).argmax(axis=1)
+        here = bands[x, first] == key
+        yield x[here] + i, y[here]
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Table]]:
@@ -389,7 +391,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         return slim.join(sized(sought), F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text")
 
     linked = components(verify(pairs, bodies_of(needed)))
-    joined = missed(shared, texts, linked, bodies_of, PART).select(F.col("node").alias("root"), F.col("root").alias("_whole"))
+    joined = missed(shared, texts, linked, bodies_of, ALL_PAIRS).select(F.col("node").alias("root"), F.col("root").alias("_whole"))
     classes = ids.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = classes.join(joined, "root", "left").withColumn("root", F.coalesce("_whole", "root")).drop("_whole")
     whole = classes.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))

@@ -86,6 +86,12 @@ def family(n, planted, private, shared, common=150):
     return [(i, " ".join([head, *tail(i)])) for i in range(n)], {i: i // 2 * 2 if i < planted else i for i in range(n)}
 
 
+def test_links_of_a_family_just_below_are_all_found(spark):
+    rows, want = family(700, 120, 19, 4)
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
 def test_links_across_the_parts_of_a_bucket(spark):
     # Within the template 73 % of all registers agree, so that buckets of over 2,048 texts are there.
     rows, want = family(4200, 200, 19, 4)
