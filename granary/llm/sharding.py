@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import body, checkpoint, draw, running, slice_sums, table, uniform
+from granary.llm.common import body, checkpoint, draw, running, sized, slice_sums, table, uniform
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,8 @@ def even(regions: int = 2, racks: int = 4, shards: int = 5) -> Tree:
 TREE = even()
 #: A document costs so many bytes besides its text.
 OVERHEAD = 16
+#: Rows that stand together in the input are numbered in stretches of so many.
+STRETCH = 1 << 14
 
 
 def _clock(key: Column, name: str, weight: float) -> Column:
@@ -75,34 +77,69 @@ def assign(df: DataFrame, key: str, tree: Tree, out: str = "shard") -> DataFrame
     return df.withColumn(out, shard.cast("int")).drop("_top", "_rack", "_late")
 
 
-def shard(docs: DataFrame, *, tree: Tree = TREE, carry: tuple[str, ...] = ()) -> DataFrame:
+def _with_place(docs: DataFrame) -> DataFrame:
+    """``docs`` with _file, a number and a name, and _row_at, which say where each row stands.
+
+    Rows read from files stand by the number in the file's name (that of the task that wrote it), its path,
+    and their place in it.  Others stand as they come out; they are kept first, since they come out once.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        at = docs.metadataColumn("_metadata")
+        path = at["file_path"]
+        number = F.coalesce(F.regexp_extract(path, "part-([0-9]+)[^/]*$", 1).try_cast("bigint"), F.lit(0))
+        return docs.select("*", F.struct(number.alias("number"), path.alias("path")).alias("_file"), at["row_index"].alias("_row_at"))
+    return checkpoint(docs.select("*", F.struct(F.lit(0).cast("bigint").alias("number"), F.lit("").alias("path")).alias("_file"), F.monotonically_increasing_id().alias("_row_at")))
+
+
+def _in_order(df: DataFrame) -> DataFrame:
+    """Adds ``_before``, how many rows of the shard stand earlier; only the counts of stretches meet in one task a shard."""
+    df = df.withColumn("_stretch", F.floor(F.col("_row_at") / STRETCH))
+    sums = df.groupBy("shard", "_file", "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("shard").orderBy("_file", "_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    bases = checkpoint(sums.select(F.col("shard").alias("_s"), F.col("_file").alias("_f"), F.col("_stretch").alias("_t"), F.coalesce(earlier, F.lit(0)).alias("_base")))
+    own = F.row_number().over(Window.partitionBy("shard", "_file", "_stretch").orderBy("_row_at")) - 1
+    joined = df.withColumn("_own", own).join(sized(bases), (F.col("shard") == F.col("_s")) & (F.col("_file") == F.col("_f")) & (F.col("_stretch") == F.col("_t")))
+    return joined.withColumn("_before", F.col("_own") + F.col("_base"))
+
+
+def shard(docs: DataFrame, *, tree: Tree = TREE, carry: tuple[str, ...] = (), in_order: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``key``: the id and the tree decide.  ``size`` is the text's bytes, none for null, plus
     ``OVERHEAD``; ``text_crc32`` is unsigned and that of no bytes for null.  ``slot`` counts the rows of
     a shard from 0 without gaps.  ``grown_shard`` is the shard in the tree with one more.  Rows without
-    an id share the empty key, and repeated ids share a shard; among rows equal in id, size and crc
-    slots may swap.  Columns in ``carry`` are kept as _c0, _c1 and so on, others are ignored; an empty
+    an id share the empty key, and repeated ids share a shard.  Slots rise in the order of the input (see
+    ``_with_place``), or, if not ``in_order``, in an order drawn from the key, where rows equal in id, size
+    and crc may swap.  Columns in ``carry`` are kept as _c0, _c1 and so on, others are ignored; an empty
     table gives an empty one.
     """
-    df = docs.select("doc_id", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], (F.octet_length(body()) + OVERHEAD).cast("bigint").alias("size"), F.crc32(F.encode(body(), "UTF-8")).alias("text_crc32"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"))
+    docs = docs.select("doc_id", "text", *carry)
+    place = ["_file", "_row_at"] if in_order else []
+    docs = _with_place(docs) if in_order else docs
+    df = docs.select("doc_id", *place, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], (F.octet_length(body()) + OVERHEAD).cast("bigint").alias("size"), F.crc32(F.encode(body(), "UTF-8")).alias("text_crc32"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"))
     df = assign(assign(df, "_key", tree), "_key", tree.grown(), "grown_shard")
     df = df.withColumn("_draw", draw("_key")).withColumn("_one", F.lit(1).cast("bigint")).drop("_key")
     # Thin rows are kept, and texts so read once; rows that carry more are read again.
     df = df if carry else checkpoint(df)
-    placed = running(df, checkpoint(slice_sums(df, "shard", "_draw", "_one")), "shard", ["doc_id", "size", "text_crc32"], "_draw", "_one")
+    placed = _in_order(df) if in_order else running(df, checkpoint(slice_sums(df, "shard", "_draw", "_one")), "shard", ["doc_id", "size", "text_crc32"], "_draw", "_one")
     return placed.select("doc_id", *[f"_c{i}" for i in range(len(carry))], "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("_before").cast("bigint").alias("slot"), "grown_shard")
 
 
 def sharded(docs: DataFrame, *, tree: Tree = TREE) -> DataFrame:
-    """``docs`` with ``shard_id`` and ``shard_slot``, ready to be written by shard; columns of those names are replaced."""
+    """``docs`` with ``shard_id`` and ``shard_slot``, ready to be written by shard; columns of those names are replaced.
+
+    Within a shard slots keep the order of ``docs``.
+    """
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard_id", "shard_slot")]
     placed = shard(docs.select("doc_id", "text", F.struct(*own).alias("_row")), tree=tree, carry=("_row",))
     return placed.select("_c0.*", F.col("shard").alias("shard_id"), F.col("slot").alias("shard_slot"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(table(spark, sf_dir, "documents"))
+    return shard(table(spark, sf_dir, "documents"), in_order=False)
 
 
 QUERIES = {"op2_sharding": op2_sharding}

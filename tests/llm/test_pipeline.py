@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 from granary.llm.decontaminate import distance, normalise, prepare
-from granary.llm.mixing import mix
+from granary.llm.mixing import mix, training_order
 from granary.llm.quality import classify
 from granary.llm.sharding import shard
 from test_near_dedup import brute
@@ -43,6 +43,21 @@ def test_stages(spark, tmp_path):
     assert ids["sharding"][0] == ids["sharding"][1]
 
 
+def test_slots_rise_with_training_time(spark, tmp_path):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    times = {r.doc_id: [(t, r._draw) for t in r.positions] for r in mix(docs).collect()}
+    training_order(docs).write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    for got in (corpus_pipeline.sharding(spark, mixed, D), corpus_pipeline.sharding(spark, training_order(docs), D)):
+        shards = {}
+        for r in got.collect():
+            shards.setdefault(r.shard_id, []).append((r.shard_slot, r.doc_id))
+        assert sum(map(len, shards.values())) == sum(map(len, times.values()))
+        for rows in shards.values():
+            ids = [d for _, d in sorted(rows)]
+            assert ids == [d for _, d in sorted((t, d) for d in set(ids) for t in times[d])]
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, D)
     assert {"doc_id", "text", "shard_id", "shard_slot"} <= set(out.columns) and out.count() > 0
