@@ -39,7 +39,7 @@ IDENTIFIERS = {
     "mpl-2.0": "mpl", "lgpl-2.1-only": "lgpl", "lgpl-2.1-or-later": "lgpl", "lgpl-3.0-only": "lgpl", "lgpl-3.0-or-later": "lgpl", "gpl-2.0-only": "gpl-2", "gpl-2.0-or-later": "gpl-2", "gpl-2.0": "gpl-2", "gpl-3.0-only": "gpl-3", "gpl-3.0-or-later": "gpl-3", "gpl-3.0": "gpl-3", "agpl-3.0-only": "agpl-3", "agpl-3.0-or-later": "agpl-3",
 }
 _TAG = " spdx license identifier "
-_EXPRESSION = re.compile(r"[ \t]*:[ \t]*([A-Za-z0-9.+() \t-]{1,400})")
+_EXPRESSION = re.compile(r"[ \t]*:[ \t]*([A-Za-z0-9.+() \t-]+)")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 

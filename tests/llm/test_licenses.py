@@ -31,6 +31,12 @@ def test_expressions():
     assert scan("# SPDX-License-Identifier: (MIT OR Apache-2.0)\ncode", automaton())[2] == {"mit", "apache-2"}
 
 
+def test_long_expressions_are_read_to_the_end():
+    text = "SPDX-License-Identifier: " + "MIT AND " * 100 + "GPL-3.0-only\n"
+    _, _, labels, score = scan(text, automaton())
+    assert labels == {"mit", "gpl-3"} and score == 0.4
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, None, 1.0), (None, "", 2.0), (2, "under the MIT license", 3.0), (2, "under the MIT license", 3.0)], "doc_id long, text string, score double")
     got = [(r.doc_id, r.n_words, r.labels, r.score) for r in find_licenses(df).collect()]
