@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import table
 
-_ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+_ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # A greedy run of 24 or more begins where a run of any length does, so shorter ones needn't be visited.
 _HEX = re.compile(r"[0-9a-f]{24,}")
