@@ -127,13 +127,28 @@ def find_pii(docs: DataFrame, *, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
 
 
 def mask_pii(docs: DataFrame, *, least: float = 0.5) -> DataFrame:
-    """``docs`` with every found value of at least that score replaced in the text by its kind in brackets."""
+    """``docs`` with every found span of at least that score replaced in the text by its kind in brackets.
+
+    Texts are cut by the spans' positions, so that nothing else changes.  Of spans that overlap, the one that
+    begins first, then the longer one, names what is replaced; what others reach beyond it goes too.  Null
+    texts stay null.
+    """
     found = docs.select("doc_id", body().alias("_text"), F.struct("*").alias("_row"))
     for kind in KINDS:
         found = _found(found, kind)
     spans = F.concat(*[F.col(f"_{k.name}") for k in KINDS])
-    hidden = F.aggregate(F.filter(spans, lambda s: s["score"] >= least), F.col("_text"), lambda t, s: F.replace(t, s["value"], F.concat(F.lit("["), s["kind"], F.lit("]"))))
-    out = found.withColumn("_hidden", hidden)
+    ordered = F.array_sort(F.transform(F.filter(spans, lambda s: s["score"] >= least), lambda s: F.struct(s["start"].cast("int").alias("start"), (-s["end"]).cast("int").alias("back"), s["kind"].alias("kind"))))
+    found = found.withColumn("_cuts", ordered)
+
+    def cut(done: Column, s: Column) -> Column:
+        end, at, parts = -s["back"], done["at"], done["parts"]
+        before = F.substring(F.col("_text"), at + 1, s["start"] - at)
+        longer = F.when(s["start"] >= at, F.concat(parts, F.array(before, F.concat(F.lit("["), s["kind"], F.lit("]"))))).otherwise(parts)
+        return F.struct(F.greatest(at, end).alias("at"), longer.alias("parts"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    hidden = F.aggregate("_cuts", start, cut, lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(F.col("_text"), done["at"] + 1, F.length("_text"))))
+    out = found.withColumn("_hidden", F.when(F.col("_row.text").isNotNull(), F.when(F.size("_cuts") > 0, hidden).otherwise(F.col("_text"))))
     return out.select(*[F.col("_hidden").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 

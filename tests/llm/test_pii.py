@@ -55,6 +55,16 @@ def test_method_spans(spark):
     assert find_pii(df).columns == ["doc_id", "spans"]
 
 
+def test_masking_cuts_by_position(spark):
+    """Pieces of one address in another stay together, overlapping spans go as one, and nulls stay."""
+    text = "a@b.co and xa@b.com; 1.2.3.4 or 11.2.3.45"
+    rows = [(1, text, "x"), (2, None, "y"), (3, "", None), (4, "é😀 " + text, None), (5, "+4111 1111 1111 1111 é", None), (5, "none", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _cuts string")
+    got = mask_pii(df).collect()
+    masked = "[email] and [email]; [ip] or [ip]"
+    assert [r.text for r in got] == [masked, None, "", "é😀 " + masked, "+[card] é", "none"] and [r._cuts for r in got] == [r[2] for r in rows]
+
+
 def test_query(spark):
     from granary.llm.pii import op4_pii
 
