@@ -3,8 +3,8 @@
 At each node every child draws an exponential clock from a hash of the document's key and the child's
 name, divided by the child's weight; the smallest clock wins.  Raising a child's weight only speeds up
 its own clock, so rows move only into that child, and other subtrees keep their own rows.  A shard that
-is added later runs against the clocks at the root as a spur of its own, with its share of the whole;
-rows that it doesn't win stay exactly where they are.
+is added later comes as a region with one rack of its own, so that rows move only into it; one that is put
+in a rack would also draw rows into its siblings, as its rack and region get heavier.
 """
 
 from __future__ import annotations
@@ -19,18 +19,17 @@ from granary.llm.common import body, checkpoint, draw, running, sized, slice_sum
 
 @dataclass(frozen=True)
 class Tree:
-    """Weights of the shards by region and rack, numbered in that order; ``spurs`` were added later."""
+    """Weights of the shards by region and rack, numbered in that order."""
 
     regions: tuple[tuple[tuple[float, ...], ...], ...]
-    spurs: tuple[float, ...] = ()
 
     @property
     def shards(self) -> int:
-        return sum(len(rack) for region in self.regions for rack in region) + len(self.spurs)
+        return sum(len(rack) for region in self.regions for rack in region)
 
     def grown(self, weight: float = 1.0) -> Tree:
-        """The tree with one more shard, numbered last."""
-        return Tree(self.regions, (*self.spurs, weight))
+        """The tree with one more shard, numbered last, in a region and rack of its own."""
+        return Tree((*self.regions, ((weight,),)))
 
 
 def even(regions: int = 2, racks: int = 4, shards: int = 5) -> Tree:
@@ -51,30 +50,22 @@ def _clock(key: Column, name: str, weight: float) -> Column:
 
 
 def _winner(key: Column, prefix: str, weights: list[float]) -> Column:
-    """(clock, child) of the child that wins; children without weight never do."""
-    return F.array_min(F.array(*[F.struct(_clock(key, f"{prefix}{i}", w).alias("clock"), F.lit(i).alias("child")) for i, w in enumerate(weights) if w > 0]))
+    """The child that wins; children without weight never do."""
+    return F.array_min(F.array(*[F.struct(_clock(key, f"{prefix}{i}", w).alias("clock"), F.lit(i).alias("child")) for i, w in enumerate(weights) if w > 0]))["child"]
 
 
 def assign(df: DataFrame, key: str, tree: Tree, out: str = "shard") -> DataFrame:
     """``df`` with the shard of each row's key, a string; equal keys go to one shard."""
-    k = F.col(key)
-    first, n = {}, 0
+    k, first, n = F.col(key), {}, 0
     for r, region in enumerate(tree.regions):
         for q, rack in enumerate(region):
             first[r, q], n = n, n + len(rack)
-    choose = lambda at, options: F.coalesce(*[F.when(at == i, x) for i, x in options])
-    df = df.withColumn("_top", _winner(k, "r", [sum(map(sum, region)) for region in tree.regions]))
-    region = F.col("_top.child")
-    df = df.withColumn("_rack", choose(region, [(r, _winner(k, f"r{r}k", [sum(x) for x in racks])["child"]) for r, racks in enumerate(tree.regions)]))
-    at = region * 1000 + F.col("_rack")
-    leaf = choose(at, [(r * 1000 + q, _winner(k, f"r{r}k{q}s", list(tree.regions[r][q]))["child"] + first_) for (r, q), first_ in first.items()])
-    shard = leaf
-    if tree.spurs:
-        # Every spur runs at the root against the region that leads there.
-        late = F.array_min(F.array(F.struct(F.col("_top.clock").alias("clock"), F.lit(-1).alias("child")), *[F.struct(_clock(k, f"x{i}", w).alias("clock"), F.lit(n + i).alias("child")) for i, w in enumerate(tree.spurs)]))
-        df = df.withColumn("_late", late)
-        shard = F.when(F.col("_late.child") >= 0, F.col("_late.child")).otherwise(leaf)
-    return df.withColumn(out, shard.cast("int")).drop("_top", "_rack", "_late")
+    df = df.withColumn("_region", _winner(k, "r", [sum(map(sum, region)) for region in tree.regions]))
+    here = F.col("_region")
+    racks = [F.when(here == r, _winner(k, f"r{r}k", [sum(x) for x in region])) for r, region in enumerate(tree.regions) if sum(map(sum, region)) > 0]
+    df = df.withColumn("_rack", F.coalesce(*racks))
+    leaves = [F.when((here == r) & (F.col("_rack") == q), _winner(k, f"r{r}k{q}s", list(tree.regions[r][q])) + at) for (r, q), at in first.items() if sum(tree.regions[r][q]) > 0]
+    return df.withColumn(out, F.coalesce(*leaves).cast("int")).drop("_region", "_rack")
 
 
 def _with_place(docs: DataFrame) -> DataFrame:
@@ -121,7 +112,8 @@ def shard(docs: DataFrame, *, tree: Tree = TREE, carry: tuple[str, ...] = (), in
     docs = _with_place(docs) if in_order else docs
     df = docs.select("doc_id", *place, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], (F.octet_length(body()) + OVERHEAD).cast("bigint").alias("size"), F.crc32(F.encode(body(), "UTF-8")).alias("text_crc32"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"))
     df = assign(assign(df, "_key", tree), "_key", tree.grown(), "grown_shard")
-    df = df.withColumn("_draw", draw("_key")).withColumn("_one", F.lit(1).cast("bigint")).drop("_key")
+    # Rows without an id share a shard; what they hold draws their order, so that their counting is spread too.
+    df = df.withColumn("_draw", F.when(F.col("doc_id").isNotNull(), draw("_key")).otherwise(draw("size", "text_crc32"))).withColumn("_one", F.lit(1).cast("bigint")).drop("_key")
     # Thin rows are kept, and texts so read once; rows that carry more are read again.
     df = df if carry else checkpoint(df)
     placed = _in_order(df) if in_order else running(df, checkpoint(slice_sums(df, "shard", "_draw", "_one")), "shard", ["doc_id", "size", "text_crc32"], "_draw", "_one")
@@ -142,4 +134,31 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), in_order=False)
 
 
+def _levels_sql(regions: int, name: str) -> str:
+    """Region, rack and shard of each key among ``regions`` regions of 4 racks of 5 shards, and, as the last, one of a single shard."""
+    clock = lambda child: f"-ln((CAST('0x' || substr(md5(key || ':' || {child}), 1, 13) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+    weight = "CASE WHEN i < 2 THEN 20.0::DOUBLE ELSE 1.0::DOUBLE END"
+    return f"""
+{name}_r AS (SELECT key, arg_min(i, {clock("'r' || i")} / ({weight})) AS r FROM keys, range({regions}) t(i) GROUP BY key),
+{name}_k AS (SELECT key, r, arg_min(i, {clock("'r' || r || 'k' || i")}) AS k FROM {name}_r, range(4) t(i) WHERE r < 2 OR i = 0 GROUP BY key, r),
+{name} AS (SELECT key, CAST(r * 20 + k * 5 + arg_min(i, {clock("'r' || r || 'k' || k || 's' || i")}) AS INTEGER) AS shard FROM {name}_k, range(5) t(i) WHERE r < 2 OR i = 0 GROUP BY key, r, k)"""
+
+
+ORACLE_SQL = {
+    "op2_sharding": f"""
+WITH steps AS (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) t(i)),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps),
+d AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+c AS (
+  SELECT doc_id, key, size, CAST(xor(list_reduce(list_prepend(4294967295, bytes), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) AS BIGINT) AS text_crc32 FROM d, crc),
+keys AS (SELECT DISTINCT key FROM c),{_levels_sql(2, "now")},{_levels_sql(3, "later")}
+SELECT c.doc_id, c.size, c.text_crc32, 'key' AS law, now.shard,
+  row_number() OVER (PARTITION BY now.shard ORDER BY CASE WHEN doc_id IS NULL THEN md5(size || ':' || text_crc32) ELSE md5(c.key) END, doc_id, size, text_crc32) - 1 AS slot, later.shard AS grown_shard
+FROM c JOIN now ON c.key = now.key JOIN later ON c.key = later.key
+"""
+}
+
 QUERIES = {"op2_sharding": op2_sharding}

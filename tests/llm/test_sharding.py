@@ -1,7 +1,8 @@
 import zlib
 from collections import Counter
 
-from granary.llm.sharding import TREE, Tree, assign, even, op2_sharding, shard, sharded
+import duckdb
+from granary.llm.sharding import ORACLE_SQL, TREE, Tree, assign, even, op2_sharding, shard, sharded
 
 
 def keys(spark, n=20000):
@@ -30,6 +31,9 @@ def test_movement_stays_in_the_subtree(spark):
             assert r.g == 3
     again = assign(assign(keys(spark, 2000), "k", even(1, 1, 3)), "k", even(1, 1, 3).grown().grown(), "g").collect()
     assert {r.g for r in again if r.g != r.shard} == {3, 4}
+    # Racks and shards of no weight get nothing, wherever they stand.
+    odd = assign(keys(spark, 2000), "k", Tree((((0.0,), (1.0, 0.0, 1.0)), ((0.0,),)))).collect()
+    assert {r.shard for r in odd} == {1, 3}
 
 
 def test_rows(spark):
@@ -48,6 +52,15 @@ def test_rows(spark):
     assert sorted((r.shard_id, r.shard_slot) for r in full.collect()) == sorted((r.shard, r.slot) for r in got)
 
 
+def test_oracle(spark):
+    """All columns follow from MD5 draws, in another engine."""
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    df = op2_sharding(spark, "/root/testdata/sf0.001")
+    cols = sorted(df.columns)
+    assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(con.sql(f"SELECT {', '.join(cols)} FROM ({ORACLE_SQL['op2_sharding']})").fetchall())
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.001"
     text = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
