@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.sources.scratch import checkpoint, scratch, shared_dir
 
 __all__ = ["body", "checkpoint", "draw", "running", "scratch", "shared_dir", "sized", "slice_sums", "table", "uniform"]
 
-#: A side of a join is broadcast only after its rows were counted and found to be this few.
-BROADCAST_ROWS = 300_000
+#: A side of a join is broadcast only after its rows, and the bytes of texts in them, were counted and found to be this few.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 64 << 20
 
 
 #: Rows that Python workers get at once; texts may be long.
@@ -23,12 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows; else as it is, for a shuffled join.
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows and ``size`` bytes of texts; else as it is, for a shuffled join.
 
     ``df`` should be thin, and cheap to compute or checkpointed, since its rows are counted.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(functools.reduce(Column.__add__, texts, F.lit(0)).cast("bigint")), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
 def body(text: Column | str = "text") -> Column:

@@ -73,11 +73,11 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[
     copies' middles, one for each copy.  Documents of size 0 and those beyond the target are not taken
     and have no positions.
 
-    Null ids count as an empty id; the order within a source is drawn from the id, so reruns agree.
+    The order within a source is drawn from the id, or from the text where there is none, so reruns agree.
     Repeated rows are documents of their own; where rows share an id and a size too, they may swap
     places.  Columns other than doc_id, source, text and those in ``carry`` are ignored.
     """
-    rows = docs.select("doc_id", "source", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], n_words(body()).alias("size"), draw("doc_id").alias("_draw"))
+    rows = docs.select("doc_id", "source", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], n_words(body()).alias("size"), F.when(F.col("doc_id").isNotNull(), draw("doc_id")).otherwise(F.md5(body())).alias("_draw"))
     # Thin rows are kept, and texts so read once; rows that carry more are read again.
     rows = rows if carry else checkpoint(rows)
     sums = checkpoint(slice_sums(rows, "source", "_draw", "size"))
@@ -122,7 +122,7 @@ ORACLE_SQL = {
     "op1_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS draw
+         md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS draw
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS r
