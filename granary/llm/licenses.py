@@ -33,11 +33,18 @@ FREEDOM = {
     "mit": 1.0, "apache-2": 1.0, "bsd": 1.0, "isc": 1.0, "unlicense": 1.0, "cc0": 1.0, "public-domain": 1.0, "cc-by": 0.9, "mpl": 0.7, "lgpl": 0.6, "cc-by-sa": 0.6,
     "gpl-2": 0.4, "gpl-3": 0.4, "agpl-3": 0.3, "cc-by-nc": 0.2, "all-rights-reserved": 0.0,
 }
+#: Families of other licences, by the start of their identifiers, and how free they are.
+FAMILIES = {
+    "zlib": 1.0, "bsl": 1.0, "0bsd": 1.0, "wtfpl": 1.0, "postgresql": 1.0, "python": 1.0, "psf": 1.0, "x11": 1.0, "ncsa": 1.0, "openssl": 0.9, "ofl": 0.9, "artistic": 0.8, "ms-pl": 0.8,
+    "epl": 0.7, "cddl": 0.7, "cpl": 0.7, "ms-rl": 0.6, "eupl": 0.5, "cecill": 0.4, "osl": 0.4, "gfdl": 0.4, "sspl": 0.2, "busl": 0.1,
+}
 #: Identifiers of the public SPDX list that are read in expressions, and their labels.
 IDENTIFIERS = {
     "mit": "mit", "apache-2.0": "apache-2", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd", "isc": "isc", "unlicense": "unlicense", "cc0-1.0": "cc0", "cc-by-4.0": "cc-by", "cc-by-sa-4.0": "cc-by-sa", "cc-by-nc-4.0": "cc-by-nc",
     "mpl-2.0": "mpl", "lgpl-2.1-only": "lgpl", "lgpl-2.1-or-later": "lgpl", "lgpl-3.0-only": "lgpl", "lgpl-3.0-or-later": "lgpl", "gpl-2.0-only": "gpl-2", "gpl-2.0-or-later": "gpl-2", "gpl-2.0": "gpl-2", "gpl-3.0-only": "gpl-3", "gpl-3.0-or-later": "gpl-3", "gpl-3.0": "gpl-3", "agpl-3.0-only": "agpl-3", "agpl-3.0-or-later": "agpl-3",
 }
+_SUFFIX = re.compile(r"(?:-only|-or-later|\+)$")
+_NAMED = re.compile(r"(?:licenseref-|documentref-)[a-z0-9.-]+|[a-z0-9.-]*[0-9][a-z0-9.-]*")
 _TAG = " spdx license identifier "
 _EXPRESSION = re.compile(r"[ \t]*:[ \t]*([A-Za-z0-9.+() \t-]+)")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+-]+")
@@ -52,11 +59,27 @@ class Value:
     freedom: float
 
 
+def identified(low: str) -> Value:
+    """What an identifier in lower case stands for; "+", "-only" and "-or-later" make no difference.
+
+    One of a known family has the family's name as its label; any other that holds a digit or is a
+    licence reference is its own label and counts as not free; other words have no label.
+    """
+    bare = _SUFFIX.sub("", low)
+    label = IDENTIFIERS.get(low) or IDENTIFIERS.get(bare) or IDENTIFIERS.get(f"{bare}-only")
+    if label:
+        return Value(frozenset([label]), FREEDOM[label])
+    family = next((f for f in FAMILIES if bare == f or bare.startswith(f"{f}-")), None)
+    if family:
+        return Value(frozenset([family]), FAMILIES[family])
+    return Value(frozenset([bare]) if _NAMED.fullmatch(bare) else frozenset(), 0.0)
+
+
 def evaluate(expression: str) -> Value | None:
     """The longest prefix of ``expression`` that is one, by the shunting-yard method; none if there is none.
 
     ``with`` binds an exception to a licence and frees it a little, ``and`` takes the stricter of two
-    licences, ``or`` the freer.  Unknown identifiers count as not free and have no label.
+    licences, ``or`` the freer.  Identifiers are read as ``identified`` says.
     """
     tokens, expect, depth, best = _TOKEN.findall(expression), True, 0, None
     for n, token in enumerate(tokens, 1):
@@ -98,8 +121,7 @@ def evaluate(expression: str) -> Value | None:
                 apply()
             operators.append(low)
         else:
-            label = IDENTIFIERS.get(low)
-            values.append(Value(frozenset([label]) if label else frozenset(), FREEDOM[label] if label else 0.0))
+            values.append(identified(low))
     while operators:
         apply()
     return values[0]

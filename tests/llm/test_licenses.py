@@ -31,6 +31,11 @@ def test_expressions():
     assert scan("# SPDX-License-Identifier: (MIT OR Apache-2.0)\ncode", automaton())[2] == {"mit", "apache-2"}
 
 
+def test_identifiers():
+    for text, labels, freedom in (("Zlib", {"zlib"}, 1.0), ("EPL-2.0", {"epl"}, 0.7), ("GPL-2.0+", {"gpl-2"}, 0.4), ("LGPL-2.1", {"lgpl"}, 0.6), ("LGPL-2.1+ OR Zlib", {"lgpl", "zlib"}, 1.0), ("Foo-9.1-only", {"foo-9.1"}, 0.0), ("LicenseRef-mine", {"licenseref-mine"}, 0.0), ("see", set(), 0.0)):
+        assert (evaluate(text).labels, evaluate(text).freedom) == (labels, freedom), text
+
+
 def test_long_expressions_are_read_to_the_end():
     text = "SPDX-License-Identifier: " + "MIT AND " * 100 + "GPL-3.0-only\n"
     _, _, labels, score = scan(text, automaton())
