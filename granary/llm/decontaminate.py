@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import table
+from granary.llm.common import checkpoint, table
 
 #: Edits allowed for each character of a normalised item.
 RATE = 0.08
-#: Items are searched in blocks of so many, each in one pass over the documents.
-BLOCK = 20_000
+#: Items are searched in blocks of so many characters together, each in one pass over the documents.
+BLOCK = 4 << 20
 _NOT_WORD = re.compile(r"[\W_]+")
 _HITS = "array<struct<item_id:bigint,distance:int>>"
 
@@ -106,11 +106,13 @@ def search(text: str | None, items: list[Item], pieces_of: ahocorasick.Automaton
     out = {}
     for i, starts in near.items():
         item = items[i]
-        if any(t.startswith(item.text, s) for s in starts if s >= 0):
-            out[i] = 0
-            continue
         n, k = len(item.text), item.budget
         if not k:
+            if any(t.startswith(item.text, s) and t[s - 1 : s] in ("", " ") and t[s + n : s + n + 1] in ("", " ") for s in starts):
+                out[i] = 0
+            continue
+        if any(t.startswith(item.text, s) for s in starts if s >= 0):
+            out[i] = 0
             continue
         starts.sort()
         windows = [[starts[0], starts[0]]]
@@ -128,22 +130,22 @@ def search(text: str | None, items: list[Item], pieces_of: ahocorasick.Automaton
 def find_items(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, block: int = BLOCK, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) and ``item_hits``, an array of (item_id, distance).
 
-    ``benchmark`` (item_id, text) is the query set: it comes to the driver in blocks, and each block is
-    searched for in all documents, whole.  A hit's distance is counted in normalised characters and is
-    at most rate x length of the item; hits stand by item, one for each item row that was found.  Items
-    without a letter or digit match nothing, and null or empty texts have no hits.  Repeated rows stay
-    as they are, and an empty table or benchmark is no special case.  A column of ``docs`` called item_hits
-    is dropped.  There is no shuffle.
+    ``benchmark`` (item_id, text) is the query set: it is read in blocks of about ``block`` characters, and
+    each block is searched for in all documents, whole.  Only one block is held at a time, so what goes to
+    the tasks is bounded; after each block but the last the documents and their hits are kept in the shared
+    folder.  A hit's distance is counted in normalised characters and is at most rate x length of the item;
+    hits stand by item, one for each item row that was found.  Items too short for any edit must stand as
+    whole words, others may begin and end within a word.  Items without a letter or digit match nothing,
+    and null or empty texts have no hits.  Repeated rows stay as they are, and an empty table or benchmark
+    is no special case.  A column of ``docs`` called item_hits is dropped.  There is no shuffle.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != "item_hits"]
     spark = docs.sparkSession
     out = docs.select(*dict.fromkeys([*keep, "text"]), F.array().cast(_HITS).alias("item_hits"))
-    buffer = []
+    buffer, size = [], 0
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
 
-    def with_block(df: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
-        held = spark.sparkContext.broadcast(rows)
-
+    def with_block(df: DataFrame, held) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = [x for r in held.value if (x := prepare(*r, rate))]
             found = automaton(items)
@@ -162,11 +164,15 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, blo
         return df.mapInArrow(run, df.schema)
 
     for row in benchmark.select(F.col("item_id").cast("bigint"), "text").toLocalIterator():
+        if buffer and size + len(row["text"] or "") > block:
+            held = spark.sparkContext.broadcast(buffer)
+            out = checkpoint(with_block(out, held))
+            held.unpersist()
+            buffer, size = [], 0
         buffer.append(tuple(row))
-        if len(buffer) == block:
-            out, buffer = with_block(out, buffer), []
+        size += len(row["text"] or "")
     if buffer:
-        out = with_block(out, buffer)
+        out = with_block(out, spark.sparkContext.broadcast(buffer))
     return out.select(*keep, "item_hits")
 
 

@@ -16,6 +16,12 @@ def brute(item, text):
     return best
 
 
+def within(item, text):
+    """The distance if it is within the budget; an item without a budget must stand as whole words."""
+    d = brute(item, text)
+    return d if d <= item.budget and (item.budget or f" {item.text} " in f" {text} ") else None
+
+
 def edited(rng, t, n):
     t = list(t)
     for _ in range(n):
@@ -39,6 +45,13 @@ def test_search_matches_the_full_table():
         assert all(distance(x, normalise(text)) == brute(x, normalise(text)) for x in items[:3])
 
 
+def test_short_items_are_whole_words():
+    items = [prepare(1, "yes"), prepare(2, "A"), prepare(3, "Yes, no")]
+    for text, want in (("the eyes have it", {}), ("Yes!", {0: 0}), ("say yes, no, or a", {0: 0, 1: 0, 2: 0}), ("yes not", {0: 0}), ("eyes no a", {1: 0})):
+        assert search(text, items, automaton(items)) == want, text
+        assert want == {i: d for i, x in enumerate(items) if (d := within(x, normalise(text))) is not None}
+
+
 def test_rows(spark):
     item = "What is the capital of France? Choose the best answer from the list."
     bench = spark.createDataFrame([(1, item), (2, None), (3, "!!"), (None, "another item that is long enough to be found")], "item_id long, text string")
@@ -61,6 +74,6 @@ def test_query(spark):
     docs = {r.doc_id: normalise(r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect() if len(r.text) < 1500}
     got = {r.doc_id: r for r in op8_decontaminate(spark, d).collect()}
     for i, t in docs.items():
-        want = [x.item_id for x in items if distance(x, t) <= x.budget]
+        want = [x.item_id for x in items if distance(x, t) <= x.budget and (x.budget or f" {x.text} " in f" {t} ")]
         assert got[i].item_ids == sorted(want) and got[i].contaminated == bool(want)
     assert any(r.contaminated for r in got.values())
