@@ -9,6 +9,9 @@ and reads new files only.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,16 @@ def _located(df: DataFrame) -> DataFrame:
 FILES_A_BATCH = 10_000
 
 
+def _escaped(path: str) -> str:
+    """A path as a pattern that fits it alone."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def _pattern(path: str) -> str:
+    """The same, with one letter as a choice of itself: as a pattern, a path may name a single file to a stream too."""
+    return re.sub(r"([A-Za-z0-9])([^A-Za-z0-9]*)$", r"[\1]\2", _escaped(path.rstrip("/")))
+
+
 def update_state(spark: SparkSession, path: str, state_dir: str) -> None:
     """Takes the Parquet files at ``path`` that are new since the last call into the state.
 
@@ -47,8 +60,9 @@ def update_state(spark: SparkSession, path: str, state_dir: str) -> None:
     for k, v in _STORE.items():
         spark.conf.set(k, v)
     try:
-        # As a pattern, a path may name a single file too.
-        stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", FILES_A_BATCH).parquet(f"{path[:-1]}[{path[-1]}]")
+        # No file is too old to count.
+        files = spark.readStream.schema(spark.read.parquet(_pattern(path)).schema).option("maxFilesPerTrigger", FILES_A_BATCH).option("maxFileAge", "100000d")
+        stream = files.parquet(_pattern(path))
         counted = _located(stream).groupBy("digest").agg(F.min("loc").alias("loc"), F.count(F.lit(1)).alias("n"))
         query = counted.writeStream.outputMode("update").format("noop").option("checkpointLocation", state_dir).trigger(availableNow=True).start()
         query.awaitTermination()
@@ -70,22 +84,27 @@ def exact_dedup(spark: SparkSession, path: str, state_dir: str | None = None) ->
     first by file and place.  ``keep_id`` is null only where no id of the group is known.  Columns other
     than doc_id and text are ignored; an empty table gives an empty one.
 
-    Hits are verified by grouping on the digest and the text itself, which compares full bytes and
-    sends each distinct text once from a task.  Should two texts ever share a digest, each is a group of
-    its own.
+    Which row stays and how large a group is come from the state, so that documents of earlier runs with
+    the same ``state_dir`` count too.  Hits are verified against the full text of the document that stays,
+    which is read again by its locator if it stands in a file of an earlier run.  Should two texts at
+    ``path`` ever share a digest, each is a group of its own there.
     """
+    known = state_dir is not None
     state_dir = state_dir or scratch(spark, "dedup-state")
     update_state(spark, path, state_dir)
-    seen = state(spark, state_dir)
-    hits = checkpoint(seen.filter("n > 1").select("digest"))
-    docs = _located(spark.read.parquet(path))
-    repeated = docs.join(sized(hits), "digest", "left_semi")
-    groups = repeated.groupBy("digest", "norm").agg(F.min("loc").alias("keep"), F.count(F.lit(1)).alias("size"))
-    # The digest of the group is enough to find it again, unless a digest stands for several texts.
-    groups = checkpoint(groups.select("digest", "keep", "size", F.md5("norm").alias("second")))
-    clash = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").limit(1).count() > 0
+    hits = checkpoint(state(spark, state_dir).filter("n > 1").withColumnsRenamed({"loc": "keep", "n": "size"}))
+    docs = _located(spark.read.parquet(_pattern(path)))
+    repeated = docs.join(sized(hits.select("digest")), "digest", "left_semi")
+    sources = repeated.select("digest", "norm")
+    if known:
+        sources = sources.unionByName(_elsewhere(spark, docs, hits))
+    # Full bytes are compared by grouping, which sends each different text once from a task.
+    clash = sources.distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").limit(1).count() > 0
+    key = ["digest", "second"] if clash else ["digest"]
+    if clash:
+        hits = checkpoint(repeated.groupBy("digest", "norm").agg(F.min("loc").alias("keep"), F.count(F.lit(1)).alias("size")).select("digest", F.md5("norm").alias("second"), "keep", "size"))
     thin = docs.select("doc_id", "loc", "digest", *([F.md5("norm").alias("second")] if clash else []))
-    joined = thin.join(sized(groups if clash else groups.drop("second")), ["digest", "second"] if clash else ["digest"], "left")
+    joined = thin.join(sized(hits), key, "left")
     mine, keep = F.col("loc"), F.coalesce("keep", "loc")
     return joined.select(
         "doc_id",
@@ -98,6 +117,17 @@ def exact_dedup(spark: SparkSession, path: str, state_dir: str | None = None) ->
     )
 
 
+def _elsewhere(spark: SparkSession, docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(digest, norm) of the documents that stay and stand in files of earlier runs."""
+    files = docs.select(F.col("loc.file").alias("_file")).distinct()
+    away = checkpoint(hits.join(files, F.col("keep.file") == F.col("_file"), "left_anti").select("digest", F.col("keep").alias("loc")))
+    # Names of files, not of rows.
+    named = [_escaped(unquote(r[0])) for r in away.select("loc.file").distinct().collect()]
+    if not named:
+        return docs.select("digest", "norm").limit(0)
+    return _located(spark.read.parquet(*named)).join(sized(away), ["digest", "loc"], "left_semi").select("digest", "norm")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet").drop("keep_file", "keep_row")
 

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 
 import duckdb
@@ -28,6 +29,21 @@ def test_rows_and_later_files(spark, tmp_path):
     assert sum(r.kept for r in again) == 6
 
 
+def test_paths_and_earlier_runs(spark, tmp_path):
+    """Odd letters in a path, a slash at its end, a single file; and copies of a text from another path."""
+    odd = tmp_path / "od[d] {x}*"
+    write(odd, "p0.parquet", [(4, "same"), (5, "other")])
+    for path in (f"{odd}/", f"{odd}", f"{odd}/p0.parquet"):
+        assert sorted((r.doc_id, r.group_size, r.kept) for r in exact_dedup(spark, path).collect()) == [(4, 1, True), (5, 1, True)]
+    state = str(tmp_path / "state")
+    exact_dedup(spark, f"{odd}", state).collect()
+    os.utime(odd / "p0.parquet", (1, 1))
+    write(tmp_path / "later", "p1.parquet", [(9, "same"), (8, "new"), (8, "new")])
+    os.utime(tmp_path / "later" / "p1.parquet", (2, 2))
+    got = exact_dedup(spark, str(tmp_path / "later"), state).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(8, 8, 2, False), (8, 8, 2, True), (9, 4, 2, False)]
+
+
 def test_empty(spark, tmp_path):
     write(tmp_path / "e.parquet", "p0.parquet", [])
     assert exact_dedup(spark, str(tmp_path / "e.parquet")).collect() == []
