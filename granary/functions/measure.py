@@ -1,8 +1,10 @@
 """Validity and measurements of JSON text, as Column expressions.
 
-``is_valid`` holds for texts nested up to 999 deep with numbers of up to 1000 digits, which the built-in
-parser takes; the scanner in ``functions.scan`` has no such bounds.  The measurements hold for valid
-texts, and are null for others where that is said.
+``is_valid`` is true only of valid texts.  Of those that are nested more than 999 deep, or have a number of
+over 1000 digits, a key of over 50,000 letters or a string of over 20,000,000, it is false too, as the
+built-in parser gives up on them; the scanner in ``functions.scan`` has no such bounds, and
+``operators.decode`` asks it about whatever is false here.  The measurements hold for valid texts, and are
+null for others where that is said.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.text import let
+from granary.policy import Limits
 
 DUPLICATES = "spark.sql.variant.allowDuplicateKeys"
 _SENTINEL = "granary:7c1f6d1e"
@@ -55,6 +58,29 @@ def parsed(text: Column) -> Column:
     return F.when(~(text.rlike(r"^[ \n\r\t]*+$") | F.when(F.contains(text, F.lit("\\u")), _alone(text)).otherwise(False)), whole)
 
 
+def repeats(text: Column, variant: Column) -> Column:
+    """True if an object of a valid text, here also parsed with the last of equal keys, repeats a key.
+
+    A repeated key is gone from the parsed value, and so is at least one string.
+    """
+    strings = lambda t: F.regexp_count(t, F.lit("(?s)" + _STRING))
+    return strings(text) > strings(F.to_json(variant))
+
+
+def may_break(text: Column, limits: Limits) -> Column:
+    """False only where sizes alone show that a valid text is within all limits on values."""
+    size = F.octet_length(text)
+    times = lambda *marks: size - F.octet_length(F.translate(text, "".join(marks), ""))
+    most = {"depth": lambda: times("[", "{") + 1, "items": lambda: times(",") + 1, "entries": lambda: times(":"), "nodes": lambda: times(",", "[", "{") + 1}
+    out = F.lit(False)
+    for name, limit in limits.set.items():
+        if name in most:
+            out = out | (most[name]() > limit)
+        elif name in ("key_bytes", "string_bytes", "number_bytes", "payload_bytes"):
+            out = out | (size > limit)
+    return out
+
+
 def shape(text: Column) -> Column:
     """One letter a token: K key, S string, N number, L literal, and the brackets; nothing else."""
     masked = F.regexp_replace(F.regexp_replace(text, "(?s)" + _KEY, "K"), "(?s)" + _STRING, "S")
@@ -133,6 +159,36 @@ def max_number_bytes(text: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(_numbers(text), F.octet_length)), F.lit(0))
 
 
+def profile(text: Column) -> Column:
+    """All measurements in one struct: nodes, depth, keys, payload_bytes, max_key_bytes, max_string_bytes, max_number_bytes.
+
+    The text is cut into tokens once, and all figures come from these.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(f"(?s){_STRING}(?:[ \\n\\r\\t]*+:)?|{_NUMBER}|[\\[\\]{{}}tfn]"), F.lit(0))
+
+    def measured(token: Column) -> Column:
+        """How a token changes the depth, and what it counts."""
+        first = F.left(token, F.lit(1))
+        text_ = first == '"'
+        key = text_ & F.endswith(token, F.lit(":"))
+        size = F.when(text_, _decoded_bytes(F.when(key, F.regexp_replace(token, '"[ \\n\\r\\t]*+:$', '"')).otherwise(token))).when(first.rlike("[-0-9]"), F.octet_length(token)).otherwise(0)
+        kind = F.when(key, 0).when(text_, 1).when(first.rlike("[-0-9]"), 2).when(first.isin("[", "{"), 3).when(first.isin("]", "}"), 4).otherwise(5)
+        return F.struct(kind.alias("kind"), size.alias("size"))
+
+    names = ("nodes", "depth", "keys", "payload_bytes", "max_key_bytes", "max_string_bytes", "max_number_bytes")
+
+    def step(acc: Column, x: Column) -> Column:
+        kind, size = x["kind"], x["size"]
+        now = acc["now"] + F.when(kind == 3, 1).when(kind == 4, -1).otherwise(0)
+        value = ~kind.isin(0, 4)
+        depth = F.when(kind == 3, now).when(value, now + 1).otherwise(0)
+        most = lambda name, k: F.when(kind == k, F.greatest(acc[name], size)).otherwise(acc[name]).alias(name)
+        return F.struct(now.alias("now"), (acc["nodes"] + value.cast("bigint")).alias("nodes"), F.greatest(acc["depth"], depth).alias("depth"), (acc["keys"] + (kind == 0).cast("bigint")).alias("keys"), (acc["payload_bytes"] + size).alias("payload_bytes"), most("max_key_bytes", 0), most("max_string_bytes", 1), most("max_number_bytes", 2))
+
+    zero = F.struct(F.lit(0).alias("now"), *[F.lit(0).cast("int" if n == "depth" or n.startswith("max") else "bigint").alias(n) for n in names])
+    return F.aggregate(F.transform(tokens, measured), zero, step, lambda acc: F.struct(*[acc[n].alias(n) for n in names]))
+
+
 def root_kind(text: Column) -> Column:
     """object, array or other, by the first character."""
     first = F.left(F.ltrim(text, F.lit(" \n\r\t")), F.lit(1))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,7 +31,8 @@ class Report:
 
     ``resource`` names the first limit that was broken.  For limits on one measurement ``observed`` and
     ``maximum`` are set, for limits on sums ``requested``, ``remaining`` and ``maximum``.  The counts are
-    those of the events that were admitted.
+    those of the events that were admitted.  ``duplicate`` says that an object repeats a key, and where the
+    first such key begins; ``field_duplicate`` that one of the declared fields is repeated.
     """
 
     valid: bool = False
@@ -55,7 +56,10 @@ class Report:
     payload_bytes: int = 0
     keys: int = 0
     duplicate: bool = False
-    root_duplicate: bool = False
+    duplicate_offset: int | None = None
+    duplicate_line: int | None = None
+    duplicate_column: int | None = None
+    field_duplicate: bool = False
 
 
 class Broken(Exception):
@@ -180,13 +184,13 @@ def _number(text: str, at: int) -> int:
 Event = tuple  # (what, depth, index or key, kind, bytes or lexeme)
 
 
-def events(text: str, meter: Meter, report: Report, above: int = 0) -> Iterator[Event]:
+def events(text: str, meter: Meter, report: Report, above: int = 0, declared: frozenset[tuple] = frozenset()) -> Iterator[Event]:
     """Admits one document and yields its events: ("value", depth, place, kind, lexeme or None) and ("end", depth).
 
     ``above`` is how many containers a fragment stands in.  ``place`` is none for the root, an index in an array or a key in an object; it is given before a
-    container's children.  Raises Unfit or Broken.
+    container's children.  ``declared`` holds paths of fields, with "*" for any index.  Raises Unfit or Broken.
     """
-    open_: list[list] = []  # kind, count, keys seen
+    open_: list[list] = []  # kind, count, keys seen, place
     i, n = 0, len(text)
     place: int | str | None = None
     wants_value = True
@@ -199,7 +203,7 @@ def events(text: str, meter: Meter, report: Report, above: int = 0) -> Iterator[
                 kind = "object" if c == "{" else "array"
                 meter.value(depth)
                 yield ("value", depth, place, kind, None)
-                open_.append([kind, 0, set() if kind == "object" else None])
+                open_.append([kind, 0, set() if kind == "object" else None, place])
                 i = _SPACE.match(text, i + 1).end()
                 c = text[i : i + 1]
                 if c == ("}" if kind == "object" else "]"):
@@ -212,7 +216,7 @@ def events(text: str, meter: Meter, report: Report, above: int = 0) -> Iterator[
                     meter.count("items", 1)
                     place = 0
                 else:
-                    i, place = _key(text, i, open_, meter, report)
+                    i, place = _key(text, i, open_, meter, report, declared)
             else:
                 if c == '"':
                     value, size, i = _string(text, i)
@@ -253,7 +257,7 @@ def events(text: str, meter: Meter, report: Report, above: int = 0) -> Iterator[
             else:
                 if text[i : i + 1] == "}":
                     raise Unfit("unexpected_byte", i)
-                i, place = _key(text, i, open_, meter, report)
+                i, place = _key(text, i, open_, meter, report, declared)
             wants_value = True
         elif c == ("]" if top[0] == "array" else "}"):
             i += 1
@@ -263,18 +267,22 @@ def events(text: str, meter: Meter, report: Report, above: int = 0) -> Iterator[
             raise Unfit(("expected_comma_or_array_end" if top[0] == "array" else "expected_comma_or_object_end") if c else "unexpected_end", i)
 
 
-def _key(text: str, i: int, open_: list[list], meter: Meter, report: Report) -> tuple[int, str]:
+def _key(text: str, i: int, open_: list[list], meter: Meter, report: Report, declared: frozenset[tuple]) -> tuple[int, str]:
     """The place of the value after a key and colon, and the key."""
     top = open_[-1]
     if text[i : i + 1] != '"':
         raise Unfit("expected_object_key", i)
     top[1] += 1
     meter.count("entries", top[1])
+    begin = i
     key, size, i = _string(text, i)
     meter.key(size)
     if key in top[2]:
-        report.duplicate = True
-        report.root_duplicate |= len(open_) == 1
+        if not report.duplicate:
+            report.duplicate = True
+            report.duplicate_offset, report.duplicate_line, report.duplicate_column = position(text, begin)
+        if declared:
+            report.field_duplicate |= (*["*" if isinstance(x[3], int) else x[3] for x in open_[1:]], key) in declared
     top[2].add(key)
     i = _SPACE.match(text, i).end()
     if text[i : i + 1] != ":":
@@ -289,7 +297,7 @@ def position(text: str, at: int) -> tuple[int, int, int]:
     return len(before.encode("utf-8", "surrogateescape")), len(lines), len(lines[-1]) + 1
 
 
-def scan(text: str | bytes, limits: Limits = Limits(), above: int = 0) -> Report:
+def scan(text: str | bytes, limits: Limits = Limits(), above: int = 0, declared: frozenset[tuple] = frozenset()) -> Report:
     """What there is to say about one document, or about a fragment in ``above`` containers.
 
     Bytes may be no UTF-8; where they aren't, the text fails.
@@ -300,7 +308,7 @@ def scan(text: str | bytes, limits: Limits = Limits(), above: int = 0) -> Report
     first = text.lstrip(" \n\r\t")[:1]
     report.root = {"{": "object", "[": "array"}.get(first, "other")
     try:
-        for _ in events(text, Meter(limits, report), report, above):
+        for _ in events(text, Meter(limits, report), report, above, declared):
             pass
         report.valid = True
     except Unfit as e:
@@ -312,11 +320,18 @@ def scan(text: str | bytes, limits: Limits = Limits(), above: int = 0) -> Report
     return report
 
 
-_FIELDS = [("valid", pa.bool_()), ("reason", pa.string()), *[(k, pa.int64()) for k in ("offset", "line", "column")], ("resource", pa.string()), *[(k, pa.int64()) for k in ("observed", "maximum", "requested", "remaining")], ("root", pa.string()), *[(k, pa.int64()) for k in ("nodes", "depth", "max_items", "max_entries", "max_key_bytes", "max_string_bytes", "max_number_bytes", "payload_bytes", "keys")], ("duplicate", pa.bool_()), ("root_duplicate", pa.bool_())]
+_FIELDS = [("valid", pa.bool_()), ("reason", pa.string()), *[(k, pa.int64()) for k in ("offset", "line", "column")], ("resource", pa.string()), *[(k, pa.int64()) for k in ("observed", "maximum", "requested", "remaining")], ("root", pa.string()), *[(k, pa.int64()) for k in ("nodes", "depth", "max_items", "max_entries", "max_key_bytes", "max_string_bytes", "max_number_bytes", "payload_bytes", "keys")], ("duplicate", pa.bool_()), *[(k, pa.int64()) for k in ("duplicate_offset", "duplicate_line", "duplicate_column")], ("field_duplicate", pa.bool_())]
 REPORT = ", ".join(f"{k}: {'boolean' if t == pa.bool_() else 'string' if t == pa.string() else 'bigint'}" for k, t in _FIELDS)
 
 
-def scan_column(text: Column, limits: Limits = Limits(), above: int = 0) -> Column:
+def reports(found: list[Report | None]) -> pa.Array:
+    """Reports as one struct column, made field by field."""
+    none = pa.array([r is None for r in found], pa.bool_())
+    fields = [pa.array([None if r is None else getattr(r, k) for r in found], t) for k, t in _FIELDS]
+    return pa.StructArray.from_arrays(fields, fields=[pa.field(k, t) for k, t in _FIELDS], mask=none)
+
+
+def scan_column(text: Column, limits: Limits = Limits(), above: int = 0, declared: frozenset[tuple] = frozenset()) -> Column:
     """A struct like Report for each text or binary value; null for null.
 
     Spark doesn't move filters to before this column, as it would then scan once for the filter and once
@@ -325,7 +340,7 @@ def scan_column(text: Column, limits: Limits = Limits(), above: int = 0) -> Colu
 
     @F.arrow_udf(f"struct<{REPORT}>")
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([None if (t := x.as_py()) is None else asdict(scan(t, limits, above)) for x in column], pa.struct(_FIELDS))
+        return reports([None if t is None else scan(t, limits, above, declared) for t in column.to_pylist()])
 
     return run.asNondeterministic()(text)
 
@@ -358,4 +373,4 @@ def utf8_failure_column(data: Column) -> Column:
         found = [None if (b := x.as_py()) is None else utf8_failure(b) for x in column]
         return pa.array([f and {"valid_up_to": f[0], "error_len": f[1]} for f in found], pa.struct([("valid_up_to", pa.int64()), ("error_len", pa.int64())]))
 
-    return run(data)
+    return run.asNondeterministic()(data)

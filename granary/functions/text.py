@@ -21,6 +21,18 @@ _SHORT = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
 ESCAPES = {chr(c): _SHORT.get(c, f"\\u{c:04x}") for c in range(0x20)}
 
 
+def free(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, in either case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, with the value computed once however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

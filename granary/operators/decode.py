@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.functions import measure
-from granary.functions.scan import scan_column
-from granary.functions.text import WHITE, escape_controls, let, unwrapped
+from granary.functions.scan import scan_column, utf8_failure_column
+from granary.functions.text import WHITE, escape_controls, free, let, unwrapped
 from granary.policy import Limits, Policy
 
+#: Only texts of more bytes can be beyond the built-in parser.
+BEYOND = 1000
 #: Kinds of errors, and the stages at which they come up.  Fixed names.
 STAGES = {
     "budget": "admission",
@@ -25,16 +27,18 @@ STAGES = {
     "unexpected_top_level": "top_level_check",
     "deserialize": "deserialize",
 }
-_FIELDS = {"kind": "string", "stage": "string", "raw_bytes": "bigint", "normalized_bytes": "bigint", "maximum": "bigint", "offset": "bigint", "line": "bigint", "column": "bigint", "reason": "string", "expected": "string", "actual": "string", "resource": "string", "observed": "bigint", "requested": "bigint", "remaining": "bigint", "message": "string"}
+_FIELDS = {"kind": "string", "stage": "string", "raw_bytes": "bigint", "normalized_bytes": "bigint", "maximum": "bigint", "offset": "bigint", "line": "bigint", "column": "bigint", "reason": "string", "expected": "string", "actual": "string", "resource": "string", "observed": "bigint", "requested": "bigint", "remaining": "bigint", "valid_up_to": "bigint", "error_len": "bigint", "message": "string"}
 ERROR = "struct<" + ", ".join(f"{k}: {v}" for k, v in _FIELDS.items()) + ">"
+#: A number outside of strings in valid JSON, after all that stands between it and the last one.
+_NUMBERS = r'(?s)\G((?:[^"0-9-]++|"(?:[^"\\]|\\.)*+")*+)(-?[0-9][0-9.eE+-]*+)'
 _MESSAGES = {
-    "budget": "JSON resource budget rejected input",
-    "input_too_large": "JSON input is too large",
-    "empty_input": "JSON input is empty after normalization",
-    "invalid_utf8": "Failed to decode JSON input as UTF-8",
-    "invalid_json": "Failed to parse JSON",
-    "unexpected_top_level": "Unexpected JSON top-level type",
-    "deserialize": "Failed to deserialize JSON value",
+    "budget": "a limit is reached",
+    "input_too_large": "the text is too long",
+    "empty_input": "there is no text",
+    "invalid_utf8": "the bytes are no UTF-8",
+    "invalid_json": "the text is no JSON",
+    "unexpected_top_level": "the root is of another kind",
+    "deserialize": "the value doesn't fit the type",
 }
 
 
@@ -56,7 +60,7 @@ def _error(kind: str, detailed: bool = False, **known: Column) -> Column:
     if kind == "input_too_large":
         repaired = "normalized_bytes" in known
         size = known["normalized_bytes" if repaired else "raw_bytes"].cast("string")
-        message = F.concat(F.lit("Normalized " if repaired else ""), message, F.lit(": "), size, F.lit(" bytes exceed configured limit "), known["maximum"].cast("string"), F.lit(" bytes"))
+        message = F.concat(message, F.lit(" once repaired: " if repaired else ": "), size, F.lit(" bytes of at most "), known["maximum"].cast("string"))
     if "resource" in known:
         message = F.concat(message, F.lit(": "), known["resource"])
     if "line" in known:
@@ -67,52 +71,75 @@ def _error(kind: str, detailed: bool = False, **known: Column) -> Column:
     return F.struct(*[(known[k] if k in known else F.lit(None)).cast(t).alias(k) for k, t in _FIELDS.items()])
 
 
-def misfit(variant: Column, value: Column, kind: T.DataType, required: bool = False) -> Column:
-    """True if a parsed value doesn't hold what the JSON holds: wrong types, numbers out of range, missing required fields.
+def misfit(variant: Column, value: Column, kind: T.DataType, required: bool = False, lexemes: frozenset[str] = frozenset(), path: str = "") -> Column:
+    """True if a parsed value doesn't hold what the JSON holds: wrong types, numbers out of range or rounded, missing required fields.
 
-    Texts don't count as numbers nor numbers as texts; extra fields are no fault.
+    Texts don't count as numbers nor numbers as texts, but for the texts at the paths ``lexemes``, which take
+    numbers alone, as they are written.  Extra fields are no fault; binary floats hold the nearest number.
     """
     absent = variant.isNull() | F.is_variant_null(variant)
     if isinstance(kind, T.StructType):
-        parts = [misfit(F.try_variant_get(variant, "$['" + f.name.replace("'", "\\'") + "']", "variant"), value[f.name], f.dataType, not f.nullable) for f in kind.fields]
+        parts = [misfit(F.try_variant_get(variant, "$['" + f.name.replace("'", "\\'") + "']", "variant"), value[f.name], f.dataType, not f.nullable, lexemes, f"{path}.{f.name}".lstrip(".")) for f in kind.fields]
         wrong = value.isNull() | ~F.schema_of_variant(variant).startswith("OBJECT")
         for p in parts:
             wrong = wrong | p
     elif isinstance(kind, T.ArrayType):
         both = F.arrays_zip(F.try_variant_get(variant, "$", "array<variant>").alias("j"), value.alias("v"))
-        wrong = value.isNull() | ~F.schema_of_variant(variant).startswith("ARRAY") | F.exists(both, lambda e: misfit(e["j"], e["v"], kind.elementType, not kind.containsNull))
+        wrong = value.isNull() | ~F.schema_of_variant(variant).startswith("ARRAY") | F.exists(both, lambda e: misfit(e["j"], e["v"], kind.elementType, not kind.containsNull, lexemes, f"{path}.*".lstrip(".")))
     else:
         json = F.schema_of_variant(variant)
         wrong = value.isNull() | (json == "STRING" if not isinstance(kind, (T.StringType, T.TimestampType, T.TimestampNTZType, T.DateType, T.BinaryType)) else F.lit(False))
         if isinstance(kind, T.StringType):
-            wrong = value.isNull() | (json != "STRING")
+            wrong = value.isNull() | (json.rlike("^(STRING|BOOLEAN|OBJECT|ARRAY)") if path in lexemes else json != "STRING")
+        elif isinstance(kind, T.DecimalType):
+            # A number with more places than the type has would be rounded.
+            wrong = wrong | ~F.try_variant_get(variant, "$", "string").try_cast(f"decimal(38,{min(kind.scale + 12, 38)})").eqNullSafe(value.cast(f"decimal(38,{min(kind.scale + 12, 38)})"))
     return F.when(absent, F.lit(required)).otherwise(F.coalesce(wrong, F.lit(True)))
 
 
-def decode(df: DataFrame, column: str, *, schema: str | T.DataType | None = None, policy: Policy | None = None, root: str | None = None, limits: Limits = Limits(), exact: bool = True, value: str = "value", error: str = "error", scan: str | None = None) -> DataFrame:
+def _fields_of(kind: T.DataType, path: tuple = ()) -> list[tuple]:
+    """Paths of the fields of all structs in a type, "*" standing for any element."""
+    if isinstance(kind, T.StructType):
+        return [p for f in kind.fields for p in [(*path, f.name), *_fields_of(f.dataType, (*path, f.name))]]
+    return _fields_of(kind.elementType, (*path, "*")) if isinstance(kind, T.ArrayType) else []
+
+
+def decode(df: DataFrame, column: str, *, schema: str | T.DataType | None = None, policy: Policy | None = None, root: str | None = None, limits: Limits = Limits(), exact: bool = True, unique: bool = False, lexemes: tuple[str, ...] = (), value: str = "value", error: str = "error", scan: str | None = None) -> DataFrame:
     """``df`` with the decoded ``value`` and the ``error`` of a column of texts or bytes.
 
     ``schema`` (DDL or type) types the value; without it, it is a variant.  ``root`` asks for an object or
     array, which is told only of whole valid JSON.  ``policy`` repairs the text first; ``Policy.strict()``
-    repairs nothing.  ``exact`` takes the scanner, which knows places, reasons, repeated fields and
-    limits; without it, validity comes from built-in functions alone and an error has no place.  ``scan``
-    names a column for the scanner's report.
+    repairs nothing.  ``unique`` makes a repeated key at any depth an error.  ``lexemes`` names fields of
+    type string of the root struct that take a number of any length as it is written.
+
+    Texts are first parsed by built-in functions.  ``exact`` asks the scanner about those that failed, may
+    break a limit or repeat a key; it knows places and reasons, and that a repeated field of a struct is an
+    error.  Without it an error has no place and repeated fields pass, the last one counting.  A valid text
+    on which the parser gives up (see ``functions.measure``) is an error of kind ``deserialize`` that names
+    ``parser`` as the resource; without ``exact`` it can't be told from a broken one if it is long, and is
+    one of kind ``budget``.  ``scan`` names a column for the scanner's report, then made for every row.
 
     Null input gives a null value and no error.  Errors come in the order of the stages: size, UTF-8,
-    empty, repaired size, syntax or limits (whichever comes first in the text), root, type.
+    empty, repaired size, syntax or limits (whichever comes first in the text), root, repeated key, type.
+    Other columns stay, whatever their names; columns called like ``value`` and ``error`` are replaced.
     """
     spark = df.sparkSession
     measure.require(spark)
     policy = policy or Policy.lenient()
-    if limits.of_values and not exact:
-        raise ValueError("limits on values need exact=True")
+    if lexemes and not isinstance(schema if isinstance(schema, T.DataType) else T._parse_datatype_string(schema or "null"), T.StructType):
+        raise ValueError("lexemes are fields of a struct")
+    if (limits.of_values or unique) and not exact:
+        raise ValueError("limits on values and unique keys need exact=True")
     binary = isinstance(df.schema[column].dataType, T.BinaryType)
-    raw = F.col(column)
+    first_, made_, scan_, out_, utf8_ = free(df.columns, "_first", "_made", "_scan", "_out", "_utf8")
+    raw = F.col(f"`{column}`")
     text = raw.cast("string") if binary else raw
     size = F.octet_length(raw).cast("bigint")
     sound = F.is_valid_utf8(text) if binary else F.lit(True)
     fits = size <= limits.input_bytes if limits.input_bytes is not None else F.lit(True)
     strict = policy == Policy.strict().but(detailed=policy.detailed)
+    if binary and exact:
+        df = df.withColumn(utf8_, utf8_failure_column(F.when(fits & ~sound, raw)))
 
     def early(t: Column, norm: Column) -> Column:
         """The first thing wrong before parsing."""
@@ -122,7 +149,8 @@ def decode(df: DataFrame, column: str, *, schema: str | T.DataType | None = None
         if limits.input_bytes is not None:
             checks.append((~fits, _error("input_too_large", raw_bytes=size, maximum=F.lit(limits.input_bytes))))
         if binary:
-            checks.append((~sound, _error("invalid_utf8", raw_bytes=size)))
+            place = {k: F.col(utf8_)[k] for k in ("valid_up_to", "error_len")} if exact else {}
+            checks.append((~sound, _error("invalid_utf8", raw_bytes=size, **place)))
         if not strict:
             checks.append((blank, _error("empty_input", raw_bytes=size)))
         if limits.normalized_bytes is not None:
@@ -136,55 +164,74 @@ def decode(df: DataFrame, column: str, *, schema: str | T.DataType | None = None
 
     repaired = lambda t: let(unwrapped(t, policy), escape_controls) if policy.escape_controls else unwrapped(t, policy)
     typed = None if schema is None else schema if isinstance(schema, T.DataType) else T._parse_datatype_string(schema)
+    declared = frozenset(_fields_of(typed)) if typed is not None else frozenset()
     first = lambda t: let(F.when(fits & sound, repaired(t)), lambda n: F.struct(n.alias("norm"), early(t, n).alias("early")))
 
     def typed_value(t: Column, j: Column) -> Column:
-        return j if typed is None else F.when(j.isNotNull(), F.from_json(t, typed))
+        if typed is None:
+            return j
+        value_ = F.from_json(t, typed)
+        if lexemes:
+            # Numbers as texts, for the fields that take them as written; others from the text as it is.
+            written = F.from_json(F.regexp_replace(t, _NUMBERS, '$1"$2"'), T.StructType([f for f in typed.fields if f.name in lexemes]))
+            value_ = let(value_, lambda v: let(written, lambda w: F.when(v.isNotNull(), F.struct(*[(w if f.name in lexemes else v)[f.name].alias(f.name) for f in typed.fields]))))
+        return F.when(j.isNotNull(), value_)
 
     def fault(j: Column, v: Column) -> Column:
-        return F.lit(False) if typed is None else F.when(j.isNotNull(), misfit(j, v, typed, True))
+        return F.lit(False) if typed is None else F.when(j.isNotNull(), misfit(j, v, typed, True, frozenset(lexemes)))
+
+    def made(t: Column, j: Column, v: Column) -> Column:
+        """What the parser makes of a text, and whether the scanner must see it."""
+        doubt = j.isNull() | (measure.may_break(t, limits) if limits.of_values else F.lit(False))
+        if unique or declared:
+            doubt = doubt | measure.repeats(t, j)
+        return F.struct(j.isNotNull().alias("parsed"), measure.root_kind(t).alias("root"), v.alias("value"), fault(j, v).alias("wrong"), F.coalesce(doubt, F.lit(True)).alias("doubt"))
+
+    def sizes_of(norm: Column) -> dict[str, Column]:
+        return {"raw_bytes": size, "normalized_bytes": F.octet_length(norm).cast("bigint")}
 
-    def outcome(f: Column, valid: Column, kind: Column, syntax: Column, value_: Column, wrong: Column) -> Column:
+    def outcome(early_: Column, norm: Column, valid: Column, m: Column, syntax: Column, repeated: Column, again: dict[str, Column]) -> Column:
         """(value, error): of errors, the earliest stage counts."""
-        sizes = {"raw_bytes": size, "normalized_bytes": F.octet_length(f["norm"]).cast("bigint")}
-        late = syntax
+        sizes, late = sizes_of(norm), syntax
         if root is not None:
-            late = late.when(valid & (kind != root), _error("unexpected_top_level", **sizes, expected=F.lit(root), actual=kind))
+            late = late.when(valid & (m["root"] != root), _error("unexpected_top_level", **sizes, expected=F.lit(root), actual=m["root"]))
+        if unique:
+            late = late.when(valid & repeated, _error("deserialize", **sizes, reason=F.lit("duplicate_key"), **again))
+        late = late.when(valid & ~m["parsed"], _error("deserialize", **sizes, resource=F.lit("parser")))
         if typed is not None:
-            late = late.when(valid & wrong, _error("deserialize", **sizes))
-        problem = F.when(raw.isNotNull(), F.coalesce(f["early"], late))
-        return let(problem, lambda e: F.struct(F.when(e.isNull(), value_).alias("value"), e.alias("error")))
+            late = late.when(valid & (m["wrong"] | repeated), _error("deserialize", **sizes))
+        problem = F.when(raw.isNotNull(), F.coalesce(early_, late))
+        return let(problem, lambda e: F.struct(F.when(e.isNull(), m["value"]).alias("value"), e.alias("error")))
 
     if exact:
-        df = df.withColumn("_first", let(text, first))
-        f = F.col("_first")
-        df = df.withColumn("_scan", scan_column(F.when(f["early"].isNull(), f["norm"]), limits))
-        s = F.col("_scan")
-        valid = F.coalesce(s["valid"], F.lit(False))
-        sizes = {"raw_bytes": size, "normalized_bytes": F.octet_length(f["norm"]).cast("bigint")}
+        df = df.withColumn(first_, let(text, first))
+        f = F.col(first_)
+        df = df.withColumn(made_, let(F.when(f["early"].isNull(), f["norm"]), lambda t: let(measure.parsed(t), lambda j: let(typed_value(t, j), lambda v: made(t, j, v)))))
+        m = F.col(made_)
+        asked = F.lit(True) if scan else m["doubt"]
+        df = df.withColumn(scan_, scan_column(F.when(f["early"].isNull() & asked, f["norm"]), limits, 0, declared))
+        s, sizes = F.col(scan_), sizes_of(f["norm"])
+        valid = f["early"].isNull() & F.coalesce(s["valid"], m["parsed"], F.lit(False))
         syntax = F.when(s["reason"].isNotNull(), _error("invalid_json", policy.detailed, **sizes, **{k: s[k] for k in ("offset", "line", "column", "reason")}))
         syntax = syntax.when(s["resource"].isNotNull(), _error("budget", **sizes, **{k: s[k] for k in ("resource", "observed", "maximum", "requested", "remaining")}))
-        repeated = s["root_duplicate"] if isinstance(typed, T.StructType) else F.lit(False)
-        # Parsing stays apart from the scan: a Python function can't be called in an inner expression.
-        made = let(F.when(valid, f["norm"]), lambda t: let(F.try_parse_json(t), lambda j: let(typed_value(t, j), lambda v: F.struct(v.alias("value"), fault(j, v).alias("wrong")))))
-        df = df.withColumn("_second", made)
-        df = df.withColumn("_out", outcome(f, valid, s["root"], syntax, F.col("_second")["value"], F.col("_second")["wrong"] | repeated))
+        repeated = F.coalesce(s["duplicate" if unique else "field_duplicate"], F.lit(False))
+        df = df.withColumn(out_, outcome(f["early"], f["norm"], valid, m, syntax, repeated, {k: s[f"duplicate_{k}"] for k in ("offset", "line", "column")}))
     else:
 
         def whole(f: Column) -> Column:
-            def with_json(t: Column, j: Column) -> Column:
-                sizes = {"raw_bytes": size, "normalized_bytes": F.octet_length(f["norm"]).cast("bigint")}
-                syntax = F.when(f["early"].isNull() & j.isNull(), _error("invalid_json", **sizes))
-                return let(typed_value(t, j), lambda v: outcome(f, j.isNotNull(), measure.root_kind(t), syntax, v, fault(j, v)))
+            def with_made(m: Column) -> Column:
+                sizes = sizes_of(f["norm"])
+                failed = f["early"].isNull() & ~m["parsed"]
+                # A text this long may be valid and only beyond the parser.
+                syntax = F.when(failed & (F.octet_length(f["norm"]) > BEYOND), _error("budget", **sizes, resource=F.lit("parser"))).when(failed, _error("invalid_json", **sizes))
+                return outcome(f["early"], f["norm"], m["parsed"], m, syntax, F.lit(False), {})
 
-            return let(F.when(f["early"].isNull(), f["norm"]), lambda t: let(measure.parsed(t), lambda j: with_json(t, j)))
+            return let(F.when(f["early"].isNull(), f["norm"]), lambda t: let(measure.parsed(t), lambda j: let(typed_value(t, j), lambda v: let(made(t, j, v), with_made))))
 
         # All in one expression that names its input once, so that a filter which Spark moves through it stays small.
-        df = df.withColumn("_out", let(text, lambda t: let(first(t), whole)))
-    df = df.withColumn(value, F.col("_out")["value"]).withColumn(error, F.col("_out")["error"])
-    if scan and exact:
-        df = df.withColumn(scan, F.col("_scan"))
-    return df.drop("_first", "_second", "_scan", "_out")
+        df = df.withColumn(out_, let(text, lambda t: let(first(t), whole)))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (first_, made_, scan_, out_, utf8_, value, error, scan)]
+    return df.select(*kept, F.col(out_)["value"].alias(value), F.col(out_)["error"].alias(error), *([F.col(scan_).alias(scan)] if scan and exact else []))
 
 
 def decode_strict(df: DataFrame, column: str, schema: str | None = None, **options) -> DataFrame:
@@ -209,18 +256,33 @@ def decode_with(df: DataFrame, column: str, seed, **options) -> DataFrame:
 
 
 def validate(df: DataFrame, column: str, *, exact: bool = False, limits: Limits = Limits(), out: str = "valid") -> DataFrame:
-    """``df`` with true or false for each text or bytes value, null for null; no value is built."""
+    """``df`` with true or false for each text or bytes value, null for null; no value is built.
+
+    Texts are parsed by built-in functions.  The scanner is asked about texts that fail and are long enough
+    to be beyond the parser, and about those that may break one of ``limits``; with ``exact``, about every
+    text that fails.
+    """
     measure.require(df.sparkSession)
-    if exact or limits.of_values:
-        return df.withColumn(out, scan_column(F.col(column), limits)["valid"])
+    raw = F.col(f"`{column}`")
     binary = isinstance(df.schema[column].dataType, T.BinaryType)
-    text = F.col(column).cast("string") if binary else F.col(column)
-    ok = measure.is_valid(text)
-    return df.withColumn(out, F.when(F.is_valid_utf8(text), ok).otherwise(F.when(F.col(column).isNotNull(), False)) if binary else ok)
+    text = raw.cast("string") if binary else raw
+    ok_, scan_ = free(df.columns, "_ok", "_scan")
+    good = measure.is_valid(text)
+    df = df.withColumn(ok_, F.coalesce(F.when(F.is_valid_utf8(text), good) if binary else good, F.lit(False)))
+    asked = ~F.col(ok_) if exact else ~F.col(ok_) & (F.octet_length(raw) > BEYOND)
+    if limits.of_values:
+        asked = asked | measure.may_break(text, limits)
+    df = df.withColumn(scan_, scan_column(F.when(asked, raw), limits))
+    answer = F.when(raw.isNotNull(), F.coalesce(F.col(scan_)["valid"], F.col(ok_)))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (ok_, scan_, out)], answer.alias(out))
 
 
 def strict_value(column: str) -> Column:
-    """A variant, or null where the text is no JSON or repeats a key at any depth."""
+    """A variant, or null where the text is no JSON or repeats a key at any depth; ``decode_unique`` says why and where."""
     text = F.col(column)
-    report = scan_column(text)
-    return F.when(report["valid"] & ~report["duplicate"], F.try_parse_json(text))
+    return let(measure.parsed(text), lambda j: F.when(~measure.repeats(text, j), j))
+
+
+def decode_unique(df: DataFrame, column: str, **options) -> DataFrame:
+    """Strict decoding where a repeated key at any depth is an error, with the place of the key."""
+    return decode(df, column, policy=Policy.strict(), unique=True, **options)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.functions import measure
-from granary.functions.text import escape_each, let
+from granary.functions.text import escape_each, free, let
 from granary.operators.decode import ERROR
 from granary.policy import Limits
 
@@ -107,8 +107,9 @@ def encode_rows(df: DataFrame, columns: list[str] | None = None, *, raw: list[st
     columns, raw = list(columns or df.columns), list(raw or [])
     row = F.struct(*[F.col(c).alias(c) for c in columns])
     kind = T.StructType([df.schema[c] for c in columns])
-    df = df.withColumn("_json", encode(row, kind, frozenset(raw)))
-    j = F.col("_json")
+    json_, problem_ = free(df.columns, "_json", "_problem")
+    df = df.withColumn(json_, encode(row, kind, frozenset(raw)))
+    j = F.col(json_)
     sizes = {"depth": measure.depth, "nodes": measure.nodes, "payload_bytes": measure.payload_bytes, "key_bytes": measure.max_key_bytes, "string_bytes": measure.max_string_bytes, "number_bytes": measure.max_number_bytes, "output_bytes": F.octet_length}
     problem = F.lit(None).cast(ERROR)
     broken = lambda kind, **known: F.from_json(F.to_json(F.struct(F.lit(kind).alias("kind"), *[v.alias(k) for k, v in known.items()])), ERROR)
@@ -116,12 +117,13 @@ def encode_rows(df: DataFrame, columns: list[str] | None = None, *, raw: list[st
         bad = F.lit(False)
         for c in raw:
             bad = bad | (F.col(c).isNotNull() & ~measure.is_valid(F.col(c)))
-        problem = F.when(bad, broken("invalid_raw_json")).otherwise(problem)
+        problem = F.when(bad, broken("invalid_raw_json", stage=F.lit("encode"), message=F.lit("a raw fragment is no JSON"))).otherwise(problem)
     for name, most in reversed(list(limits.set.items())):
         if name in sizes:
             got = sizes[name](j).cast("bigint")
-            problem = F.when(got > most, broken("budget", resource=F.lit(name), observed=got, maximum=F.lit(most))).otherwise(problem)
+            problem = F.when(got > most, broken("budget", stage=F.lit("encode"), message=F.lit(f"a limit is reached: {name}"), resource=F.lit(name), observed=got, maximum=F.lit(most))).otherwise(problem)
         else:
             raise ValueError(f"no limit on {name} when encoding")
-    df = df.withColumn("_problem", problem)
-    return df.withColumn(out, F.when(F.col("_problem").isNull(), j)).withColumn(error, F.col("_problem")).drop("_json", "_problem")
+    df = df.withColumn(problem_, problem)
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (json_, problem_, out, error)]
+    return df.select(*kept, F.when(F.col(problem_).isNull(), j).alias(out), F.col(problem_).alias(error))

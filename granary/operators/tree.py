@@ -6,15 +6,19 @@ and objects are walked and written in the order of their keys.
 
 from __future__ import annotations
 
+import copy
+import functools
 import json
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.scan import _FIELDS, REPORT, Broken, Meter, Report, Unfit, events, position
+from granary.functions.scan import REPORT, Broken, Meter, Report, Unfit, events, position, reports
+from granary.functions.text import free
 from granary.policy import Limits
 
 #: A node is [kind, content]: a dict for an object, a list for an array, else the decoded text or the lexeme.
@@ -130,7 +134,7 @@ def account_column(text: Column, limits: Limits = Limits()) -> Column:
 
     @F.arrow_udf(f"struct<{REPORT}>")
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([None if (t := x.as_py()) is None else asdict(account(t, limits)) for x in column], pa.struct(_FIELDS))
+        return reports([None if t is None else account(t, limits) for t in column.to_pylist()])
 
     return run.asNondeterministic()(text)
 
@@ -139,53 +143,72 @@ _NODES = [("enter_ord", pa.int64()), ("leave_ord", pa.int64()), ("depth", pa.int
 NODES = "enter_ord bigint, leave_ord bigint, depth bigint, loc string, idx bigint, key string, kind string, bytes bigint, scalar string"
 
 
-def walk(text: str, enter: Callable[[dict], bool] | None = None) -> list[dict]:
-    """Every node, first to last as entered; invalid text has none.
-
-    ``leave_ord`` counts nodes as they are left.  ``bytes`` is the size of a text or number or the number
-    of members; ``scalar`` the decoded text, number or literal.  ``enter`` may look at a node and return
-    false to pass over what is below it.
-    """
+def _walked(text: str, enter: Callable[[dict], bool] | None, columns: list[list]) -> int:
+    """Appends the fields of every node to ``columns``, which are in the order of _NODES; how many nodes there are."""
     try:
         root = build(text)
     except Unfit:
-        return []
-    out: list[dict] = []
-    left = 0
+        return 0
+    enters, leaves, depths, locs, idxs, keys, kinds, sizes, scalars = columns
+    base, n, left = len(enters), 0, 0
     todo: list = [(1, "root", None, None, root)]
     while todo:
         x = todo.pop()
-        if isinstance(x, dict):
-            x["leave_ord"] = left
+        if isinstance(x, int):
+            leaves[x] = left
             left += 1
             continue
         depth, loc, idx, key, node = x
         kind, content = node
-        row = {"enter_ord": len(out), "leave_ord": None, "depth": depth, "loc": loc, "idx": idx, "key": key, "kind": kind, "bytes": _size(node), "scalar": None if kind in ("object", "array") else content}
-        out.append(row)
-        todo.append(row)
-        if enter is None or enter(row):
-            todo += [(depth + 1, "object_value" if k is not None else "array_element", i, k, c) for i, k, c in reversed(_children(node))]
-    return out
+        inner = kind in ("object", "array")
+        size = len(content) if inner else _size(node)
+        for c, v in zip(columns, (n, None, depth, loc, idx, key, kind, size, None if inner else content)):
+            c.append(v)
+        at, n = base + n, n + 1
+        if inner and content and (enter is None or enter({name: c[at] for (name, _), c in zip(_NODES, columns)})):
+            todo.append(at)
+            loc = "array_element" if kind == "array" else "object_value"
+            todo += [(depth + 1, loc, i, k, c) for i, k, c in reversed(_children(node))]
+        else:
+            leaves[at] = left
+            left += 1
+            if enter is not None and not (inner and content):
+                enter({name: c[at] for (name, _), c in zip(_NODES, columns)})
+    return n
 
 
-def tree_nodes(df: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
+def walk(text: str, enter: Callable[[dict], bool] | None = None) -> list[dict]:
+    """Every node, first to last as entered; invalid text has none.
+
+    ``leave_ord`` counts nodes as they are left.  ``bytes`` is the size of a text or number or the number
+    of members; ``scalar`` the decoded text, number or literal.  ``enter`` may look at a node and return
+    false to pass over what is below it.
+    """
+    columns: list[list] = [[] for _ in _NODES]
+    _walked(text, enter, columns)
+    names = [name for name, _ in _NODES]
+    return [dict(zip(names, row)) for row in zip(*columns)]
+
+
+def tree_nodes(df: DataFrame, column: str, keep: list[str] | None = None, enter: Callable[[dict], bool] | None = None) -> DataFrame:
     """A row for each node of each text, with the columns ``keep`` of its document (all by default).
 
+    ``enter`` is asked about each node, as a dict of its columns, whether what is below it is walked too.
     Documents are worked on one by one where they are read; nothing is shuffled.  Null and invalid texts
-    have no rows.
+    have no rows.  Columns called like those of a node (NODES) aren't kept; rename them first.
     """
-    keep = [c for c in df.columns if c != column] if keep is None else keep
     names = [n for n, _ in _NODES]
-    source = df.select(*keep, F.col(column).alias("_json"))
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (*names, column)]
+    (json_,) = free(keep, "_json")
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias(json_))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                found = [walk(t) if (t := x.as_py()) is not None else [] for x in part.column(len(keep))]
-                at = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
-                flat = [r for rows in found for r in rows]
-                yield pa.RecordBatch.from_arrays([*[part.column(i).take(at) for i in range(len(keep))], *[pa.array([r[n] for r in flat], t) for n, t in _NODES]], [*keep, *names])
+                columns: list[list] = [[] for _ in _NODES]
+                counts = [0 if t is None else _walked(t, enter, columns) for t in part.column(len(keep)).to_pylist()]
+                at = pa.array(np.repeat(np.arange(len(counts)), counts))
+                yield pa.RecordBatch.from_arrays([*[part.column(i).take(at) for i in range(len(keep))], *[pa.array(c, t) for c, (_, t) in zip(columns, _NODES)]], [*keep, *names])
 
     head = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
     return source.mapInArrow(run, f"{head}, {NODES}" if keep else NODES)
@@ -217,6 +240,11 @@ class Rule:
     put: str | None = None
     skip: bool = False
 
+    @functools.cached_property
+    def tree(self) -> Node:
+        """What ``put`` stands for."""
+        return build(self.put)
+
     def fits(self, key: str | None, kind: str, depth: int) -> bool:
         return (self.keys is None or key in self.keys) and (self.kinds is None or kind in self.kinds) and depth >= self.depth
 
@@ -232,9 +260,12 @@ class Mutation:
     report: Report = field(default_factory=Report)
 
 
-def mutate(text: str, rules: tuple[Rule, ...], limits: Limits = Limits(), on_limit: str = "abort", put: str = '"[redacted]"') -> Mutation:
+def mutate(text: str, rules: tuple[Rule, ...], limits: Limits = Limits(), on_limit: str = "abort", put: str = '"[redacted]"', visit: Callable[[dict], Rule | None] | None = None) -> Mutation:
     """Walks the tree, charges each node as it was, and applies the first rule that fits.
 
+    ``visit`` is a caller's own choice: it is told of each node that no rule fits (depth, key, kind and, of
+    scalars, the text) and may return a rule to apply to it.
+
     A node over a limit ends the walk (``abort``), stays with all below it (``skip``), or is replaced by
     ``put`` (``replace``); neither is walked further.
     """
@@ -258,22 +289,25 @@ def mutate(text: str, rules: tuple[Rule, ...], limits: Limits = Limits(), on_lim
             continue
         out.visited += 1
         rule = next((r for r in rules if r.fits(key, node[0], depth)), None)
+        if rule is None and visit is not None:
+            rule = visit({"depth": depth, "key": key, "kind": node[0], "scalar": None if node[0] in ("object", "array") else node[1]})
         if rule and rule.put is not None:
-            node[:] = build(rule.put)
+            node[:] = copy.deepcopy(rule.tree) if rule.tree[0] in ("object", "array") else rule.tree
         if not (rule and rule.skip):
             todo += [(k, c, depth + 1) for _, k, c in reversed(_children(node))]
     out.text = render(root)
     return out
 
 
-def mutate_column(text: Column, rules: tuple[Rule, ...], limits: Limits = Limits(), on_limit: str = "abort") -> Column:
-    """(text, reason, resource, visited) for each text; null for null."""
+def mutate_column(text: Column, rules: tuple[Rule, ...] = (), limits: Limits = Limits(), on_limit: str = "abort", visit: Callable[[dict], Rule | None] | None = None) -> Column:
+    """(text, reason, resource, visited) for each text, by ``mutate``; null for null."""
     kind = pa.struct([("text", pa.string()), ("reason", pa.string()), ("resource", pa.string()), ("visited", pa.int64())])
 
     @F.arrow_udf("struct<text: string, reason: string, resource: string, visited: bigint>")
     def run(column: pa.Array) -> pa.Array:
-        made = [None if (t := x.as_py()) is None else mutate(t, rules, limits, on_limit) for x in column]
-        return pa.array([m and {"text": m.text, "reason": m.reason, "resource": m.resource, "visited": m.visited} for m in made], kind)
+        made = [None if t is None else mutate(t, rules, limits, on_limit, visit=visit) for t in column.to_pylist()]
+        parts = [pa.array([m and getattr(m, f.name) for m in made], f.type) for f in kind]
+        return pa.StructArray.from_arrays(parts, fields=list(kind), mask=pa.array([m is None for m in made], pa.bool_()))
 
     return run.asNondeterministic()(text)
 

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from granary.functions import measure
 from granary.functions.scan import scan_column
 from granary.functions.text import normalize
-from granary.operators.decode import decode, decode_array, decode_object, decode_strict, decode_with, parse_error_kind, stage_of, strict_value, validate
+from granary.operators.decode import decode, decode_array, decode_object, decode_strict, decode_unique, decode_with, parse_error_kind, stage_of, strict_value, validate
 from granary.operators.encode import byte_array, encode_rows, tagged
-from granary.operators.sessions import run_sessions
+from granary.operators.sessions import decode_sessions, encode_sessions, run_sessions
 from granary.operators.tree import Rule, account_column, mutate_column, redact, tree_nodes
 from granary.policy import Limits, Policy
 from granary.sources.scratch import run_to_end
@@ -167,14 +167,15 @@ def q_syntax_reason(t):
 
 
 @query("""
-SELECT doc_id, CASE WHEN lines > 0 THEN lines + 1 ELSE 1 END AS line, tail + 3 AS col, CAST(strlen(inner_text) + 3 AS BIGINT) AS at
-FROM (SELECT doc_id, inner_text, length(inner_text) - length(replace(inner_text, chr(10), '')) AS lines, length(regexp_extract(inner_text, '[^\\n]*$')) + CASE WHEN contains(inner_text, chr(10)) THEN 0 ELSE 1 END AS tail
-      FROM (SELECT doc_id, regexp_replace(text, '[^\\n]', ' ', 'g') AS inner_text FROM documents WHERE NOT contains(text, chr(13))))
+SELECT doc_id, lines + 1 AS line, tail + 3 AS col, CAST(strlen(inner_text) + 3 AS BIGINT) AS at
+FROM (SELECT doc_id, inner_text, len(regexp_extract_all(inner_text, '\\r\\n|\\r|\\n')) AS lines, length(regexp_extract(inner_text, '[^\\r\\n]*$')) + CASE WHEN regexp_matches(inner_text, '[\\r\\n]') THEN 0 ELSE 1 END AS tail
+      FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\\r\\n]', ' ', 'g') || CASE doc_id % 4 WHEN 1 THEN chr(13) WHEN 2 THEN chr(13) || chr(10) WHEN 3 THEN chr(10) || chr(13) ELSE '' END AS inner_text FROM documents))
 """.replace("\\\\", "\\"))
 def q_line_column(t):
-    """The line and column of an error after many lines."""
-    blank = F.regexp_replace("text", "[^\\n]", " ")
-    df = t("documents").filter(~F.contains("text", F.lit("\r"))).select("doc_id", F.concat(F.lit("["), blank, F.lit("1 2]")).alias("j"))
+    """The line and column of an error after many lines, however they end."""
+    ends = F.coalesce(pick("doc_id", ["", "\r", "\r\n", "\n\r"]), F.lit(""))
+    blank = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\r\\n]", " "), ends)
+    df = t("documents").select("doc_id", F.concat(F.lit("["), blank, F.lit("1 2]")).alias("j"))
     df = df.withColumn("s", scan_column(F.col("j")))
     return df.select("doc_id", F.col("s.line").alias("line"), (F.col("s.column")).alias("col"), F.col("s.offset").alias("at"))
 
@@ -264,8 +265,9 @@ def q_nodes_depth_payload(t):
     text = F.concat(F.lit('{"o": '), F.col("o_orderkey").cast("string"), F.lit(', "s" : "'), "o_orderstatus", F.lit('", "l":['), numbers, F.lit('], "u": "\\u4e2d\\n\\""}'))
     df = t("orders").select("o_orderkey", text.alias("text"))
     x = F.col("text")
-    measures = {"nodes": measure.nodes, "depth": measure.depth, "payload": measure.payload_bytes, "n_keys": measure.keys, "key_bytes": measure.max_key_bytes, "string_bytes": measure.max_string_bytes, "number_bytes": measure.max_number_bytes}
-    return df.select("o_orderkey", *[f(x).cast("bigint").alias(name) for name, f in measures.items()])
+    df = df.select("o_orderkey", measure.profile(x).alias("m"))
+    names = {"nodes": "nodes", "depth": "depth", "payload": "payload_bytes", "n_keys": "keys", "key_bytes": "max_key_bytes", "string_bytes": "max_string_bytes", "number_bytes": "max_number_bytes"}
+    return df.select("o_orderkey", *[F.col("m")[of].cast("bigint").alias(name) for name, of in names.items()])
 
 
 @query("""
@@ -381,12 +383,11 @@ def q_encode_nested(t):
 
 
 @query(f"""
-SELECT event_id, {sql_pick('event_id', ['{"raw":[1, 2]}', '{"raw":null}', None])} AS json, {sql_pick('event_id', [None, None, 'invalid_raw_json'])} AS kind, NULL::VARCHAR AS resource FROM events WHERE event_id % 4 < 3 AND event_id % 12 IN (0, 1, 2, 4, 5, 6, 8, 9, 10)
+SELECT event_id, {sql_pick('event_id', ['{"raw":[1, 2]}', '{"raw":null}', None])} AS json, {sql_pick('event_id', [None, None, 'invalid_raw_json'])} AS kind, NULL::VARCHAR AS resource FROM events
 """)
 def q_encode_raw(t):
     """Fragments of JSON are checked and put in as they are."""
-    df = t("events").filter((F.col("event_id") % 4 < 3) & (F.col("event_id") % 12).isin(0, 1, 2, 4, 5, 6, 8, 9, 10))
-    df = df.select("event_id", F.element_at(F.array(F.lit("[1, 2]"), F.lit(None), F.lit("[1 2]")), (F.col("event_id") % 3 + 1).cast("int")).alias("raw"))
+    df = t("events").select("event_id", F.element_at(F.array(F.lit("[1, 2]"), F.lit(None), F.lit("[1 2]")), (F.col("event_id") % 3 + 1).cast("int")).alias("raw"))
     return encode_rows(df, ["raw"], raw=["raw"], limits=Limits(output_bytes=100)).select("event_id", "json", "error.kind", "error.resource")
 
 
@@ -402,3 +403,103 @@ def q_decode_seed(t):
     """Decoding to what a caller's function makes of the value."""
     df = decode_with(t("events").select("event_id", "props"), "props", lambda v: F.try_variant_get(v, "$.k", "double") * 2, exact=False)
     return df.select("event_id", F.col("value").alias("twice"))
+
+
+DEEP, LONG = "[" * 1500 + "]" * 1500, "7" * 1200
+BEYOND = [DEEP, "[" * 1500, DEEP + "]", LONG, "0" * 1200, f'{{"a":{LONG}}}', f'"{LONG}"', f"[{DEEP},{LONG},]"]
+_BEYOND = [True, False, False, True, False, True, True, False]
+
+
+@query(f"SELECT event_id, {sql_pick('event_id', _BEYOND)} AS valid, {sql_pick('event_id', _BEYOND)} AS exact, {sql_pick('event_id', ['deserialize' if v and i != 6 else None if v else 'invalid_json' for i, v in enumerate(_BEYOND)])} AS kind, {sql_pick('event_id', ['parser' if v and i != 6 else None for i, v in enumerate(_BEYOND)])} AS resource FROM events")
+def q_validate_beyond(t):
+    """Texts deeper than the built-in parser goes, and numbers longer than it takes: valid all the same, and never lost without an error."""
+    df = t("events").select("event_id", pick("event_id", BEYOND).alias("text"))
+    df = decode(validate(validate(df, "text"), "text", exact=True, out="exact"), "text")
+    return df.select("event_id", "valid", "exact", F.when(F.col("value").isNull() & F.col("error").isNull(), "lost").otherwise(F.col("error.kind")).alias("kind"), "error.resource")
+
+
+#: Each with the number as it is to come out, or how it fails.
+EXACT = {
+    '{"v":340282366920938463463374607431768211455}': "340282366920938463463374607431768211455",
+    '{"v":1e3,"s":{"a":1},"l":[{"a":1},{"a":2}],"d":1.23}': "1e3",
+    '{"v":-0.10,"x":{"a":1,"a":2}}': "-0.10",
+    '{"v":1,"s":{"a":1,"a":2}}': None,
+    '{"v":1,"l":[{"a":1},{"a":2,"\\u0061":2}]}': None,
+    '{"v":1,"v":1}': None,
+    '{"v":"1"}': None,
+    '{"v":1,"d":1.239}': None,
+    '{"v":1,"d":123456789.5}': None,
+    '{"v":true}': None,
+}
+
+
+@query(f"SELECT event_id, {sql_pick('event_id', list(EXACT.values()))} AS v, {sql_pick('event_id', [None if v else 'deserialize' for v in EXACT.values()])} AS kind FROM events")
+def q_decode_exact(t):
+    """Numbers of any length as they are written, repeated fields at any depth refused, nothing rounded."""
+    df = t("events").select("event_id", pick("event_id", list(EXACT)).alias("text"))
+    df = decode_object(df, "text", "v string not null, s struct<a: int>, l array<struct<a: int>>, d decimal(10,2)", lexemes=("v",))
+    return df.select("event_id", "value.v", "error.kind")
+
+
+@query(f"SELECT event_id, {sql_pick('event_id', [None, 'duplicate_key', 'duplicate_key', None, 'duplicate_key', 'unexpected_end'])} AS reason, CAST(coalesce({sql_pick('event_id', [None, 7, 12, None, 14, 5])}, -1) AS BIGINT) AS at FROM events")
+def q_duplicate_places(t):
+    """Repeated keys as errors, with the place of the key."""
+    df = decode_unique(t("events").select("event_id", pick("event_id", REPEATED).alias("text")), "text")
+    return df.select("event_id", "error.reason", F.coalesce("error.offset", F.lit(-1)).cast("bigint").alias("at"))
+
+
+@query(f"SELECT event_id, {sql_pick('event_id', [None, 'invalid_utf8', 'invalid_utf8', 'invalid_utf8'])} AS kind, CAST(coalesce({sql_pick('event_id', [None, 2, 0, 1])}, -1) AS BIGINT) AS valid_up_to, CAST(coalesce({sql_pick('event_id', [None, 1, 2, None])}, -1) AS BIGINT) AS error_len FROM events")
+def q_utf8_places(t):
+    """How many bytes are sound before those that are no UTF-8, and how many of these; -1 for none."""
+    df = t("events").select("event_id", F.unhex(pick("event_id", ["5b5d", "2261ff22", "e4b878", "61e4b8"])).alias("content"))
+    df = decode(df, "content")
+    return df.select("event_id", "error.kind", *[F.coalesce(f"error.{c}", F.lit(-1)).cast("bigint").alias(c) for c in ("valid_up_to", "error_len")])
+
+
+def _greedy_sql(size: str, most: int, columns: str, fresh: str = "FALSE") -> str:
+    """A budget that each document takes its size from if that is left, anew where ``fresh`` holds."""
+    before = f"CASE WHEN {fresh} THEN 0 ELSE s.used END"
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, role, {size} AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations),
+s AS (
+  SELECT conv_id, turn, role, p, n, p <= {most} AS accepted, CASE WHEN p <= {most} THEN p ELSE 0 END AS used FROM d WHERE n = 1
+  UNION ALL
+  SELECT d.conv_id, d.turn, d.role, d.p, d.n, {before} + d.p <= {most}, {before} + CASE WHEN {before} + d.p <= {most} THEN d.p ELSE 0 END FROM s JOIN d ON d.conv_id = s.conv_id AND d.n = s.n + 1)
+SELECT conv_id, turn, accepted, CAST(used AS BIGINT) AS used, {columns} FROM s
+"""
+
+
+_ORDER = {"key": ["conv_id"], "order": ["turn", "role", "text"]}
+
+
+@query(_greedy_sql("strlen(role)", 12, "CASE WHEN accepted THEN role END AS role, CAST(sum(strlen(role) + 4) OVER w AS BIGINT) AS repaired, CAST(sum(strlen(role) + 12) OVER w AS BIGINT) AS raw").replace("FROM s\n", "FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY n)\n"))
+def q_session_decode(t):
+    """Fenced texts decoded within a session; bytes are charged before and after repair, whether a text is accepted or not."""
+    df = t("conversations").select("conv_id", "turn", "role", "text", F.concat(F.lit('```\n["'), "role", F.lit('"]\n```')).alias("json"))
+    df = decode_sessions(df, "json", **_ORDER, limits=Limits(payload_bytes=12), schema="array<string>")
+    return df.select("conv_id", "turn", "accepted", F.col("used_payload_bytes").alias("used"), F.get("value", F.lit(0)).alias("role"), F.col("used_normalized_bytes").alias("repaired"), F.col("used_input_bytes").alias("raw"))
+
+
+@query(_greedy_sql("strlen(role) + 8", 40, """CASE WHEN accepted THEN '{"r":"' || role || '"}' END AS json, CASE WHEN NOT accepted THEN 'output_bytes' END AS resource"""))
+def q_session_encode(t):
+    """Rows encoded within a session, as long as there is room for the output."""
+    df = t("conversations").select("conv_id", "turn", "role", "text", F.col("role").alias("r"))
+    df = encode_sessions(df, ["r"], **_ORDER, limits=Limits(output_bytes=40))
+    return df.select("conv_id", "turn", "accepted", F.col("used_output_bytes").alias("used"), "json", F.col("error_resource").alias("resource"))
+
+
+@query(_greedy_sql("strlen(role) + 1", 14, "role", "d.turn % 3 = 0"))
+def q_session_tree(t):
+    """Sessions that charge trees, in which of equal keys the last counts alone, and that begin anew every third turn."""
+    value = F.concat(F.lit('"'), "role", F.lit('"'))
+    df = t("conversations").select("conv_id", "turn", "role", "text", F.concat(F.lit('{"a":'), value, F.lit(',"a":'), value, F.lit("}")).alias("json"), (F.col("turn") % 3 == 0).alias("fresh"))
+    df = run_sessions(df, "json", **_ORDER, limits=Limits(payload_bytes=14), mode="tree", reset="fresh")
+    return df.select("conv_id", "turn", "accepted", F.col("used_payload_bytes").alias("used"), "role")
+
+
+@query("SELECT event_id, '{\"k\":' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 10) || '}' AS text FROM events")
+def q_mutate_visit(t):
+    """Values rewritten by a caller's function: numbers by their last digit."""
+    last = tuple(Rule(put=str(i)) for i in range(10))
+    return t("events").select("event_id", mutate_column(F.col("props"), visit=lambda node: last[int(node["scalar"][-1])] if node["kind"] == "number" else None)["text"].alias("text"))

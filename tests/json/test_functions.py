@@ -98,6 +98,12 @@ def test_columns_match_scanner(spark):
     assert ok.count() > 2000
     for name in ("nodes", "depth", "payload_bytes", "keys", "max_key_bytes", "max_string_bytes", "max_number_bytes", "root"):
         assert ok.filter(F.col(name) != F.col("s")[name]).collect() == [], name
+    whole = ok.select("t", "s", measure.profile(t).alias("m"), measure.repeats(t, F.try_parse_json(t)).alias("again"))
+    for name in ("nodes", "depth", "payload_bytes", "keys", "max_key_bytes", "max_string_bytes", "max_number_bytes"):
+        assert whole.filter(F.col("m")[name] != F.col("s")[name]).collect() == [], name
+    assert whole.filter("again != s.duplicate").collect() == [] and whole.filter("again").count() > 5
+    for limits in (Limits(depth=2), Limits(items=1), Limits(entries=1), Limits(nodes=2), Limits(key_bytes=1), Limits(string_bytes=1), Limits(number_bytes=1), Limits(payload_bytes=1)):
+        assert ok.select(measure.may_break(t, limits).alias("may"), scan_column(t, limits).alias("l")).filter("not may and l.resource is not null").count() == 0
 
 
 def escape(s):

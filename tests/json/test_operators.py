@@ -38,7 +38,8 @@ def test_bytes_limits_and_messages(spark):
     assert secret.kind == "invalid_json" and (secret.line, secret.column) == (1, 7) and "SECRET" not in str(secret)
     big = decode(spark.createDataFrame([(' "\n" ',)], "t string"), "t", limits=Limits(normalized_bytes=3)).first().error
     assert (big.kind, big.normalized_bytes, big.maximum) == ("input_too_large", 4, 3)
-    assert big.message == "Normalized JSON input is too large: 4 bytes exceed configured limit 3 bytes"
+    assert big.message == "the text is too long once repaired: 4 bytes of at most 3"
+    assert (got[0].error.valid_up_to, got[0].error.error_len) == (0, 1) and got[1].error.valid_up_to is None
     with pytest.raises(ValueError):
         decode(df, "t", limits=Limits(depth=1), exact=False)
 
@@ -54,7 +55,35 @@ def test_arrays_and_nested_types(spark):
     assert [r.valid for r in validate(spark.createDataFrame([(b"[1]",), (b"\xff",), (None,)], "t binary"), "t").collect()] == [True, False, None]
 
 
+def test_nothing_is_lost(spark):
+    """Valid texts beyond the built-in parser end in a value or an error, in both ways, and are valid in both."""
+    deep, long = "[" * 1500 + "]" * 1500, "7" * 1200
+    df = spark.createDataFrame([(t,) for t in (deep, long, "[" * 998 + "]" * 998, "7" * 1000, deep[:-1], '{"k":' + long + "}")], "t string")
+    for exact in (True, False):
+        got = decode(df, "t", exact=exact).collect()
+        assert all((r.value is None) != (r.error is None) for r in got)
+        assert [r.error and r.error.kind for r in got] == (["deserialize", "deserialize", None, None, "invalid_json", "deserialize"] if exact else ["budget", "budget", None, None, "budget", "budget"])
+        assert [r.valid for r in validate(df, "t", exact=exact).collect()] == [True, True, True, True, False, True]
+
+
+def test_sessions_decode_encode_and_begin_anew(spark):
+    df = spark.createDataFrame([(1, 1, "```\n[1]\n```", True), (1, 2, "", None), (1, 3, "[2", None), (1, 4, '["x"]', None), (1, 5, None, None), (1, 6, "[3]", True), (2, 1, "[4]", None)], "k int, i int, accepted string, used_nodes boolean")
+    from granary.operators.sessions import decode_sessions, encode_sessions
+
+    got = decode_sessions(df.withColumnRenamed("accepted", "t").withColumnRenamed("used_nodes", "fresh"), "t", key=["k"], order=["i"], limits=Limits(nodes=4), schema="array<int>", reset="fresh").orderBy("k", "i").collect()
+    assert [(r.accepted, r.error_kind, r.value, r.used_nodes, r.used_input_bytes, r.used_normalized_bytes) for r in got] == [(True, None, [1], 2, 11, 3), (False, "empty_input", None, 2, 11, 3), (False, "invalid_json", None, 2, 13, 5), (True, "deserialize", None, 4, 18, 10), (True, None, None, 4, 18, 10), (True, None, [3], 2, 3, 3), (True, None, [4], 2, 3, 3)]
+    assert run_sessions(df, "accepted", key=["k"], order=["i"], limits=Limits()).columns.count("accepted") == 1
+    rows = spark.createDataFrame([(1, 1, "1"), (1, 2, "[1"), (1, 3, "22"), (1, 4, "3")], "k int, i int, r string")
+    out = encode_sessions(rows, key=["k"], order=["i"], raw=["r"], limits=Limits(output_bytes=16)).orderBy("i").collect()
+    assert [(r.accepted, r.json, r.error_kind, r.error_resource, r.used_output_bytes) for r in out] == [(True, '{"r":1}', None, None, 7), (False, None, "invalid_raw_json", None, 7), (True, '{"r":22}', None, None, 15), (False, None, "budget", "output_bytes", 15)]
+
+
 def test_clashing_columns(spark):
+    odd = spark.createDataFrame([("[1]", 1, 2, 3, 4, 5, 6, 7)], "t string, _first int, _made int, _scan int, _out int, _OK int, kind int, `a b` int")
+    assert decode(odd, "t").columns == [*odd.columns, "value", "error"] and decode(odd, "t", exact=False).first()._first == 1
+    assert validate(odd, "t").columns == [*odd.columns, "valid"] and validate(odd, "t", out="kind").first().kind is True
+    assert tree_nodes(odd, "t").first()._scan == 3 and tree_nodes(odd, "t").count() == 2
+    assert encode_rows(odd.select(F.col("kind").alias("_json"), "a b")).first().json == '{"_json":6,"a b":7}'
     df = spark.createDataFrame([("[1]", "x", "y")], "t string, value string, error string")
     got = decode(df, "t", value="v", error="e")
     assert got.columns == ["t", "value", "error", "v", "e"] and got.first().value == "x"
