@@ -6,6 +6,8 @@ never hold text of the input.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,6 +99,20 @@ def misfit(variant: Column, value: Column, kind: T.DataType, required: bool = Fa
     return F.when(absent, F.lit(required)).otherwise(F.coalesce(wrong, F.lit(True)))
 
 
+def _fitting(kind: T.DataType, required: bool = True) -> str | None:
+    """A pattern of the schemas of parsed values that hold every value of a type, or none if a schema can't tell."""
+    if isinstance(kind, T.StructType):
+        # The schema of an array's elements doesn't tell whether each has a field.
+        parts = [(f.name, _fitting(f.dataType, required)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        if any(p is None or not re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", n) for n, p in parts) or not (required or all(f.nullable for f in kind.fields)):
+            return None
+        return "OBJECT<" + ", ".join(f"{n}: {p}" for n, p in parts) + ">"
+    if isinstance(kind, T.ArrayType):
+        inner = _fitting(kind.elementType, False)
+        return inner and f"ARRAY<{inner}>"
+    return {"bigint": "BIGINT", "string": "STRING", "boolean": "BOOLEAN", "double": r"(?:BIGINT|DOUBLE|DECIMAL\([0-9]+,[0-9]+\))"}.get(kind.simpleString())
+
+
 def _fields_of(kind: T.DataType, path: tuple = ()) -> list[tuple]:
     """Paths of the fields of all structs in a type, "*" standing for any element."""
     if isinstance(kind, T.StructType):
@@ -167,31 +183,35 @@ def decode(df: DataFrame, column: str, *, schema: str | T.DataType | None = None
     declared = frozenset(_fields_of(typed)) if typed is not None else frozenset()
     first = lambda t: let(F.when(fits & sound, repaired(t)), lambda n: F.struct(n.alias("norm"), early(t, n).alias("early")))
 
-    def typed_value(t: Column, j: Column) -> Column:
+    def typed_value(t: Column) -> Column:
         if typed is None:
-            return j
+            return F.try_parse_json(t)
         value_ = F.from_json(t, typed)
         if lexemes:
             # Numbers as texts, for the fields that take them as written; others from the text as it is.
             written = F.from_json(F.regexp_replace(t, _NUMBERS, '$1"$2"'), T.StructType([f for f in typed.fields if f.name in lexemes]))
             value_ = let(value_, lambda v: let(written, lambda w: F.when(v.isNotNull(), F.struct(*[(w if f.name in lexemes else v)[f.name].alias(f.name) for f in typed.fields]))))
-        return F.when(j.isNotNull(), value_)
+        return value_
 
-    def fault(j: Column, v: Column) -> Column:
-        return F.lit(False) if typed is None else F.when(j.isNotNull(), misfit(j, v, typed, True, frozenset(lexemes)))
+    def fault(t: Column, j: Column) -> Column:
+        if typed is None:
+            return F.lit(False)
+        each, pattern = let(typed_value(t), lambda v: misfit(j, v, typed, True, frozenset(lexemes))), None if lexemes else _fitting(typed)
+        # Where the schema of the whole value fits, no part of it needs to be looked at.
+        return F.when(j.isNotNull(), each if pattern is None else ~F.schema_of_variant(j).rlike(f"^{pattern}$") & each)
 
-    def made(t: Column, j: Column, v: Column) -> Column:
+    def made(t: Column, j: Column) -> Column:
         """What the parser makes of a text, and whether the scanner must see it."""
         doubt = j.isNull() | (measure.may_break(t, limits) if limits.of_values else F.lit(False))
         if unique or declared:
             doubt = doubt | measure.repeats(t, j)
-        return F.struct(j.isNotNull().alias("parsed"), measure.root_kind(t).alias("root"), v.alias("value"), fault(j, v).alias("wrong"), F.coalesce(doubt, F.lit(True)).alias("doubt"))
+        return F.struct(j.isNotNull().alias("parsed"), measure.root_kind(t).alias("root"), fault(t, j).alias("wrong"), F.coalesce(doubt, F.lit(True)).alias("doubt"))
 
     def sizes_of(norm: Column) -> dict[str, Column]:
         return {"raw_bytes": size, "normalized_bytes": F.octet_length(norm).cast("bigint")}
 
     def outcome(early_: Column, norm: Column, valid: Column, m: Column, syntax: Column, repeated: Column, again: dict[str, Column]) -> Column:
-        """(value, error): of errors, the earliest stage counts."""
+        """Of errors, that of the earliest stage."""
         sizes, late = sizes_of(norm), syntax
         if root is not None:
             late = late.when(valid & (m["root"] != root), _error("unexpected_top_level", **sizes, expected=F.lit(root), actual=m["root"]))
@@ -200,13 +220,12 @@ def decode(df: DataFrame, column: str, *, schema: str | T.DataType | None = None
         late = late.when(valid & ~m["parsed"], _error("deserialize", **sizes, resource=F.lit("parser")))
         if typed is not None:
             late = late.when(valid & (m["wrong"] | repeated), _error("deserialize", **sizes))
-        problem = F.when(raw.isNotNull(), F.coalesce(early_, late))
-        return let(problem, lambda e: F.struct(F.when(e.isNull(), m["value"]).alias("value"), e.alias("error")))
+        return F.when(raw.isNotNull(), F.coalesce(early_, late))
 
     if exact:
         df = df.withColumn(first_, let(text, first))
         f = F.col(first_)
-        df = df.withColumn(made_, let(F.when(f["early"].isNull(), f["norm"]), lambda t: let(measure.parsed(t), lambda j: let(typed_value(t, j), lambda v: made(t, j, v)))))
+        df = df.withColumn(made_, let(F.when(f["early"].isNull(), f["norm"]), lambda t: let(measure.parsed(t), lambda j: made(t, j))))
         m = F.col(made_)
         asked = F.lit(True) if scan else m["doubt"]
         df = df.withColumn(scan_, scan_column(F.when(f["early"].isNull() & asked, f["norm"]), limits, 0, declared))
@@ -215,7 +234,8 @@ def decode(df: DataFrame, column: str, *, schema: str | T.DataType | None = None
         syntax = F.when(s["reason"].isNotNull(), _error("invalid_json", policy.detailed, **sizes, **{k: s[k] for k in ("offset", "line", "column", "reason")}))
         syntax = syntax.when(s["resource"].isNotNull(), _error("budget", **sizes, **{k: s[k] for k in ("resource", "observed", "maximum", "requested", "remaining")}))
         repeated = F.coalesce(s["duplicate" if unique else "field_duplicate"], F.lit(False))
-        df = df.withColumn(out_, outcome(f["early"], f["norm"], valid, m, syntax, repeated, {k: s[f"duplicate_{k}"] for k in ("offset", "line", "column")}))
+        problem = outcome(f["early"], f["norm"], valid, m, syntax, repeated, {k: s[f"duplicate_{k}"] for k in ("offset", "line", "column")})
+        df = df.withColumn(out_, F.struct(f["norm"].alias("norm"), problem.alias("error")))
     else:
 
         def whole(f: Column) -> Column:
@@ -224,14 +244,16 @@ def decode(df: DataFrame, column: str, *, schema: str | T.DataType | None = None
                 failed = f["early"].isNull() & ~m["parsed"]
                 # A text this long may be valid and only beyond the parser.
                 syntax = F.when(failed & (F.octet_length(f["norm"]) > BEYOND), _error("budget", **sizes, resource=F.lit("parser"))).when(failed, _error("invalid_json", **sizes))
-                return outcome(f["early"], f["norm"], m["parsed"], m, syntax, F.lit(False), {})
+                return F.struct(f["norm"].alias("norm"), outcome(f["early"], f["norm"], m["parsed"], m, syntax, F.lit(False), {}).alias("error"))
 
-            return let(F.when(f["early"].isNull(), f["norm"]), lambda t: let(measure.parsed(t), lambda j: let(typed_value(t, j), lambda v: let(made(t, j, v), with_made))))
+            return let(F.when(f["early"].isNull(), f["norm"]), lambda t: let(measure.parsed(t), lambda j: let(made(t, j), with_made)))
 
         # All in one expression that names its input once, so that a filter which Spark moves through it stays small.
         df = df.withColumn(out_, let(text, lambda t: let(first(t), whole)))
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (first_, made_, scan_, out_, utf8_, value, error, scan)]
-    return df.select(*kept, F.col(out_)["value"].alias(value), F.col(out_)["error"].alias(error), *([F.col(scan_).alias(scan)] if scan and exact else []))
+    # The value is made last and on its own: passed through inner expressions, it would be copied by each.
+    got = F.when(F.col(out_)["error"].isNull(), typed_value(F.col(out_)["norm"]))
+    return df.select(*kept, got.alias(value), F.col(out_)["error"].alias(error), *([F.col(scan_).alias(scan)] if scan and exact else []))
 
 
 def decode_strict(df: DataFrame, column: str, schema: str | None = None, **options) -> DataFrame:
