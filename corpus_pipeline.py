@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm.common import table
+from granary.llm.common import scratch, table
 from granary.llm.decontaminate import clean_of
 from granary.llm.mixing import training_order
 from granary.llm.near_dedup import keep_one
@@ -48,8 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after another, on the documents of ``sf_dir``."""
+    """All stages, one after another, on the documents of ``sf_dir``; each one's rows are written, and read by the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = scratch(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from granary.sources.scratch import checkpoint, scratch, shared_dir
 
-__all__ = ["body", "checkpoint", "draw", "running", "scratch", "shared_dir", "sized", "slice_sums", "table", "uniform"]
+__all__ = ["attach", "body", "checkpoint", "draw", "running", "scratch", "shared_dir", "sized", "slice_sums", "table", "uniform"]
 
 #: A side of a join is broadcast only after its rows, and the bytes of texts in them, were counted and found to be this few.
 BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 64 << 20
@@ -36,6 +36,23 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if n <= rows and held <= size else df
 
 
+#: Over so many copies of an entry the rows of a hot key are spread.
+SPREAD = 32
+
+
+def attach(df: DataFrame, side: DataFrame, key: str, by: str) -> DataFrame:
+    """``df`` with the columns of ``side``, which has one row at most for each ``key``; null without one.
+
+    Few rows are broadcast.  Otherwise each row of ``side`` is copied, and the rows of ``df`` are dealt out
+    among the copies by ``by``, so that a key which a third of all rows share doesn't meet in one task.
+    """
+    small = sized(side)
+    if small is not side:
+        return df.join(small, key, "left")
+    copies = side.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return df.withColumn("_copy", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")).join(copies, [key, "_copy"], "left").drop("_copy")
+
+
 def body(text: Column | str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.bagminhash import bags, band_keys, short, signatures, weighted_jaccard
-from granary.llm.common import checkpoint, sized, table
+from granary.llm.common import attach, checkpoint, sized, table
 from granary.llm.graph import components
 from granary.llm.tokens import column_bytes, firsts, lowered, mix, shingles, word_hashes, words
 
@@ -393,9 +393,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     linked = components(verify(pairs, bodies_of(needed)))
     joined = missed(shared, texts, linked, bodies_of, ALL_PAIRS).select(F.col("node").alias("root"), F.col("root").alias("_whole"))
     classes = ids.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = classes.join(joined, "root", "left").withColumn("root", F.coalesce("_whole", "root")).drop("_whole")
-    whole = classes.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    classes = checkpoint(classes.join(whole, "root").select("node", "twin", "copies", "root", "class_id", "class_size"))
+    classes = attach(classes, joined, "root", "node").withColumn("root", F.coalesce("_whole", "root")).drop("_whole")
+    # Summed where they are first; only classes of several texts are looked up again, as one may have very many.
+    whole = classes.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    classes = attach(classes, checkpoint(whole), "root", "node")
+    classes = checkpoint(classes.select("node", "twin", "copies", "root", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("class_size", "copies").alias("class_size")))
     # A text with many copies has many rows on one side and one on the other.
     out = signed.select("doc_id", "node", "twin").join(sized(classes), ["node", "twin"])
     return out.select("doc_id", "class_id", "class_size", F.col("copies").alias("text_copies"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "node", "root")

@@ -4,6 +4,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from granary.llm import common
 from granary.llm.bagminhash import signatures, weighted_jaccard
 from granary.llm.graph import components
 from granary.llm.near_dedup import ORACLE_SQL, PART, keep_one, links_of, near_dedup, op3_near_dedup, sign
@@ -151,3 +152,14 @@ def test_oracle(spark):
     df = op3_near_dedup(spark, d)
     cols = sorted(df.columns)
     assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(con.sql(f"SELECT {', '.join(cols)} FROM ({ORACLE_SQL['op3_near_dedup']})").fetchall())
+
+
+def test_attach_spreads_a_hot_key(spark, monkeypatch):
+    df = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(600)] + [(1000, None)], "node long, root long")
+    side = spark.createDataFrame([(7, "seven"), (9, "nine"), (8, "none")], "root long, name string")
+    want = sorted((r.node, {7: "seven", 9: "nine"}.get(r.root)) for r in df.collect())
+    for shuffled in (False, True):
+        if shuffled:
+            monkeypatch.setattr(common, "sized", lambda d: d)
+        got = common.attach(df, side, "root", "node")
+        assert sorted(got.columns) == ["name", "node", "root"] and sorted((r.node, r.name) for r in got.collect()) == want
