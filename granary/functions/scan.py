@@ -140,7 +140,7 @@ def _string(text: str, at: int) -> tuple[str, int, int]:
         if not c:
             raise Unfit("unexpected_end", n)
         if c != "\\":
-            raise Unfit("invalid_utf8" if "\ud800" <= c <= "\udfff" else "unexpected_byte", i)
+            raise Unfit(_no_utf8(text, i) if "\ud800" <= c <= "\udfff" else "unexpected_byte", i)
         e = text[i + 1 : i + 2]
         if not e:
             raise Unfit("unexpected_end", n)
@@ -163,6 +163,13 @@ def _string(text: str, at: int) -> tuple[str, int, int]:
         parts.append(chr(unit))
 
 
+def _no_utf8(text: str, at: int) -> str:
+    """Why the byte at ``at`` fails: the text ends before the character that it begins, or it is no UTF-8."""
+    lead = ord(text[at]) - 0xDC00
+    width = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 1
+    return "invalid_utf8" if len(text[at : at + 4].encode("utf-8", "surrogateescape")) >= width else "unexpected_end"
+
+
 def _unit(text: str, at: int) -> tuple[int, int]:
     m = _HEX.match(text, at)
     if len(m[0]) < 4:
@@ -347,7 +354,7 @@ def scan_column(text: Column, limits: Limits = Limits(), above: int = 0, declare
 
 def with_scan(df: DataFrame, column: str, out: str = "scan", limits: Limits = Limits()) -> DataFrame:
     """``df`` with the scan of a column."""
-    return df.withColumn(out, scan_column(F.col(column), limits))
+    return df.withColumn(out, scan_column(F.col(f"`{column}`"), limits))
 
 
 def failure_text(report: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.policy import Policy
@@ -33,6 +33,11 @@ def free(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called by number, for functions over batches, which can't be given names with dots."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, with the value computed once however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -105,7 +105,8 @@ def encode_rows(df: DataFrame, columns: list[str] | None = None, *, raw: list[st
     """
     measure.require(df.sparkSession)
     columns, raw = list(columns or df.columns), list(raw or [])
-    row = F.struct(*[F.col(c).alias(c) for c in columns])
+    col = lambda c: F.col(f"`{c}`")
+    row = F.struct(*[col(c).alias(c) for c in columns])
     kind = T.StructType([df.schema[c] for c in columns])
     json_, problem_ = free(df.columns, "_json", "_problem")
     df = df.withColumn(json_, encode(row, kind, frozenset(raw)))
@@ -116,7 +117,7 @@ def encode_rows(df: DataFrame, columns: list[str] | None = None, *, raw: list[st
     if raw:
         bad = F.lit(False)
         for c in raw:
-            bad = bad | (F.col(c).isNotNull() & ~measure.is_valid(F.col(c)))
+            bad = bad | (col(c).isNotNull() & ~measure.is_valid(col(c)))
         problem = F.when(bad, broken("invalid_raw_json", stage=F.lit("encode"), message=F.lit("a raw fragment is no JSON"))).otherwise(problem)
     for name, most in reversed(list(limits.set.items())):
         if name in sizes:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.scan import scan
-from granary.functions.text import free, normalize
+from granary.functions.text import free, normalize, numbered
 from granary.operators.decode import decode
 from granary.operators.encode import encode_rows
 from granary.operators.tree import account
@@ -107,7 +107,7 @@ def run_sessions(df: DataFrame, column: str, *, key: list[str], order: list[str]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], [*names, *outcome])
 
     head = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in names)
-    return source.mapInArrow(run, f"{head}, {OUTCOME_DDL}")
+    return numbered(source).mapInArrow(run, f"{head}, {OUTCOME_DDL}")
 
 
 def decode_sessions(df: DataFrame, column: str, *, key: list[str], order: list[str], limits: Limits, schema: str | None = None, policy: Policy | None = None, mode: str = "text", reset: str | None = None, value: str = "value") -> DataFrame:

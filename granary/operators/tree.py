@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.scan import REPORT, Broken, Meter, Report, Unfit, events, position, reports
-from granary.functions.text import free
+from granary.functions.text import free, numbered
 from granary.policy import Limits
 
 #: A node is [kind, content]: a dict for an object, a list for an array, else the decoded text or the lexeme.
@@ -211,7 +211,7 @@ def tree_nodes(df: DataFrame, column: str, keep: list[str] | None = None, enter:
                 yield pa.RecordBatch.from_arrays([*[part.column(i).take(at) for i in range(len(keep))], *[pa.array(c, t) for c, (_, t) in zip(columns, _NODES)]], [*keep, *names])
 
     head = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(run, f"{head}, {NODES}" if keep else NODES)
+    return numbered(source).mapInArrow(run, f"{head}, {NODES}" if keep else NODES)
 
 
 def register_tree(spark: SparkSession, name: str = "json_tree") -> None:
@@ -299,13 +299,13 @@ def mutate(text: str, rules: tuple[Rule, ...], limits: Limits = Limits(), on_lim
     return out
 
 
-def mutate_column(text: Column, rules: tuple[Rule, ...] = (), limits: Limits = Limits(), on_limit: str = "abort", visit: Callable[[dict], Rule | None] | None = None) -> Column:
+def mutate_column(text: Column, rules: tuple[Rule, ...] = (), limits: Limits = Limits(), on_limit: str = "abort", put: str = '"[redacted]"', visit: Callable[[dict], Rule | None] | None = None) -> Column:
     """(text, reason, resource, visited) for each text, by ``mutate``; null for null."""
     kind = pa.struct([("text", pa.string()), ("reason", pa.string()), ("resource", pa.string()), ("visited", pa.int64())])
 
     @F.arrow_udf("struct<text: string, reason: string, resource: string, visited: bigint>")
     def run(column: pa.Array) -> pa.Array:
-        made = [None if t is None else mutate(t, rules, limits, on_limit, visit=visit) for t in column.to_pylist()]
+        made = [None if t is None else mutate(t, rules, limits, on_limit, put, visit) for t in column.to_pylist()]
         parts = [pa.array([m and getattr(m, f.name) for m in made], f.type) for f in kind]
         return pa.StructArray.from_arrays(parts, fields=list(kind), mask=pa.array([m is None for m in made], pa.bool_()))
 

@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import measure
-from granary.functions.scan import scan_column
+from granary.functions.scan import failure_text, scan_column
 from granary.functions.text import normalize
 from granary.operators.decode import decode, decode_array, decode_object, decode_strict, decode_unique, decode_with, parse_error_kind, stage_of, strict_value, validate
 from granary.operators.encode import byte_array, encode_rows, tagged
 from granary.operators.sessions import decode_sessions, encode_sessions, run_sessions
 from granary.operators.tree import Rule, account_column, mutate_column, redact, tree_nodes
 from granary.policy import Limits, Policy
-from granary.sources.scratch import run_to_end
+from granary.sources.files import read_lines, write_lines
+from granary.sources.scratch import run_to_end, scratch
 from granary.streaming.sessions import stream_sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -503,3 +504,145 @@ def q_mutate_visit(t):
     """Values rewritten by a caller's function: numbers by their last digit."""
     last = tuple(Rule(put=str(i)) for i in range(10))
     return t("events").select("event_id", mutate_column(F.col("props"), visit=lambda node: last[int(node["scalar"][-1])] if node["kind"] == "number" else None)["text"].alias("text"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 AS more FROM events")
+def q_seed_bytes(t):
+    """Bytes decoded to what a caller's function makes of the value."""
+    df = t("events").select("event_id", F.encode("props", "UTF-8").alias("content"))
+    df = decode_with(df, "content", lambda v: F.try_variant_get(v, "$.k", "double") + 1, exact=False)
+    return df.select("event_id", F.col("value").alias("more"))
+
+
+#: Bytes, whether they are JSON, and why and where those that aren't fail.
+BYTES = {
+    "7b2261223a317d": (True, None, None),
+    "22ff22": (False, "invalid_utf8", 1),
+    "22c3a922": (True, None, None),
+    "22c3": (False, "unexpected_end", 1),
+    "5b22c08022": (False, "invalid_utf8", 2),
+    "ff": (False, "unexpected_byte", 0),
+    "5b5d": (True, None, None),
+    "22eda08022": (False, "invalid_utf8", 1),
+    "22c3a9f09f988022": (True, None, None),
+    "22f5808080": (False, "invalid_utf8", 1),
+    "2261e4b8": (False, "unexpected_end", 2),
+    "22e4b822": (False, "invalid_utf8", 1),
+}
+
+
+@query(f"SELECT event_id, {', '.join(f'{sql_pick('event_id', [b[0] for b in BYTES.values()])} AS {c}' for c in ('valid', 'exact'))}, {sql_pick('event_id', [b[1] for b in BYTES.values()])} AS reason, CAST(coalesce({sql_pick('event_id', [b[2] for b in BYTES.values()])}, -1) AS BIGINT) AS at FROM events")
+def q_validate_bytes(t):
+    """Bytes that are JSON, and those that are no UTF-8, within texts or outside; -1 for no place."""
+    df = t("events").select("event_id", F.unhex(pick("event_id", list(BYTES))).alias("content"))
+    df = validate(validate(df, "content"), "content", exact=True, out="exact").withColumn("s", scan_column(F.col("content")))
+    return df.select("event_id", "valid", "exact", "s.reason", F.coalesce("s.offset", F.lit(-1)).cast("bigint").alias("at"))
+
+
+#: Texts, and of those that fail the kind, and the bytes before and after repair.
+REPAIRED = {
+    "```json\n```": ("empty_input", 11, 0),
+    "\ufeff": ("empty_input", 3, 0),
+    '  {"a":1}  ': (None, None, None),
+    '"aaaaaaaaaa"': ("input_too_large", 12, 12),
+    '"\n\n\n"': (None, None, None),
+    '"\n\n\n\n"': ("input_too_large", 6, 10),
+    "   ": ("empty_input", 3, None),
+    '```\n"aaaaaa"\n```': (None, None, None),
+}
+
+
+@query(f"SELECT event_id, {sql_pick('event_id', [k for k, _, _ in REPAIRED.values()])} AS kind, {', '.join(f'CAST(coalesce({sql_pick('event_id', [v[i] for v in REPAIRED.values()])}, -1) AS BIGINT) AS {c}' for i, c in ((1, 'raw'), (2, 'repaired')))}, CAST({sql_pick('event_id', [8 if k == 'input_too_large' else -1 for k, _, _ in REPAIRED.values()])} AS BIGINT) AS most FROM events")
+def q_repaired_size(t):
+    """Texts that are empty, or too long, only once they are repaired; -1 for what an error doesn't tell."""
+    df = decode(t("events").select("event_id", pick("event_id", list(REPAIRED)).alias("text")), "text", limits=Limits(normalized_bytes=8))
+    sizes = {"raw": "raw_bytes", "repaired": "normalized_bytes", "most": "maximum"}
+    return df.select("event_id", "error.kind", *[F.coalesce(f"error.{of}", F.lit(-1)).cast("bigint").alias(c) for c, of in sizes.items()])
+
+
+#: Texts in need of one repair each, and which of them each policy makes JSON.
+NEEDY = ["```json\n[1]\n```", "\ufeff[1]", " [1] ", '["\t"]', "~~~x\n[1]\n~~~", "```\n[1]", "[1]"]
+POLICIES = {
+    "strict": (Policy.strict(), "0010001"),
+    "lenient": (Policy.lenient(), "1111011"),
+    "any_fence": (Policy().but(fence="any"), "1111111"),
+    "closed": (Policy().but(closing="required"), "1111001"),
+    "as_typed": (Policy().but(escape_controls=False), "1110011"),
+    "with_bom": (Policy().but(strip_bom=False), "1011011"),
+    "no_fence": (Policy().but(fence="disabled"), "0111001"),
+}
+
+
+@query(f"SELECT event_id, {', '.join(f'{sql_pick('event_id', [c == '1' for c in ok])} AS {name}' for name, (_, ok) in POLICIES.items())} FROM events")
+def q_policies(t):
+    """What each choice of repairs makes of the same texts."""
+    df = t("events").select("event_id", pick("event_id", NEEDY).alias("text"))
+    for name, (policy, _) in POLICIES.items():
+        df = decode(df, "text", policy=policy, exact=False, value=name, error=f"{name}_error")
+    return df.select("event_id", *[F.col(f"{name}_error").isNull().alias(name) for name in POLICIES])
+
+
+_WRONG = ["[1 2]", '{"a":1}', " ", "[7]", "[1,2,3]"]
+_SAID = ["the text is no JSON at line 1 column 4", "the root is of another kind: expected array, got object", "there is no text", None, "a limit is reached: items"]
+
+
+@query(f"SELECT event_id, {sql_pick('event_id', _SAID)} AS said, {sql_pick('event_id', [s and s + (': expected_comma_or_array_end' if i == 0 else '') for i, s in enumerate(_SAID)])} AS detailed FROM events")
+def q_error_messages(t):
+    """Messages of errors: by default without the scanner's reason, and in detail with it."""
+    df = t("events").select("event_id", pick("event_id", _WRONG).alias("text"))
+    df = decode_array(df, "text", limits=Limits(items=2))
+    df = df.select("event_id", "text", F.col("error.message").alias("said"))
+    return decode_array(df, "text", limits=Limits(items=2), policy=Policy(detailed=True)).select("event_id", "said", F.col("error.message").alias("detailed"))
+
+
+@query(f"SELECT event_id, {sql_pick('event_id', [r and f'{r.replace("_", " ")} at line 1 column {o + 1} (byte offset {o})' for r, o in zip(_REASON, _OFFSET)])} AS said FROM events")
+def q_failure_text(t):
+    """Failures of the scanner in words."""
+    return t("events").select("event_id", failure_text(scan_column(pick("event_id", HOSTILE))).alias("said"))
+
+
+@query(f"SELECT event_id, {sql_pick('event_id', [None, None, 'depth', 'depth', 'nodes'])} AS resource, {', '.join(f"CAST({sql_pick('event_id', v)} AS BIGINT) AS {c}" for c, v in (('observed', [-1, -1, 5, 5, -1]), ('requested', [-1, -1, -1, -1, 1]), ('remaining', [-1, -1, -1, -1, 0])))} FROM events")
+def q_scan_above(t):
+    """Fragments that will stand within two containers count these into their depth, but not into their nodes; limits on one value tell what was observed, those on sums what was left.  -1 for neither."""
+    s = scan_column(pick("event_id", ["1", "[[]]", "[[1]]", '{"a":[1]}', "[[],[],[]]"]), Limits(depth=4, nodes=3), above=2)
+    return t("events").select("event_id", s.alias("s")).select("event_id", "s.resource", *[F.coalesce(f"s.{c}", F.lit(-1)).cast("bigint").alias(c) for c in ("observed", "requested", "remaining")])
+
+
+@query("""
+SELECT event_id, unnest(['', 'n', '', 'p', 'secret']) AS key, CAST(unnest([0, 1, 2, 3, 4]) AS BIGINT) AS entered, CAST(unnest([4, 1, 0, 2, 3]) AS BIGINT) AS left_at, unnest([NULL, NULL, CAST(event_id AS VARCHAR), 'x', NULL]) AS scalar FROM events
+""")
+def q_tree_enter(t):
+    """A caller's visitor that passes over what is below some nodes, and the orders of entering and leaving."""
+    text = F.concat(F.lit('{"p":"x","secret":{"y":[1,2]},"n":['), F.col("event_id").cast("string"), F.lit("]}"))
+    nodes = tree_nodes(t("events").select("event_id", text.alias("text")), "text", enter=lambda node: node["key"] != "secret")
+    return nodes.select("event_id", F.coalesce("key", F.lit("")).alias("key"), F.col("enter_ord").alias("entered"), F.col("leave_ord").alias("left_at"), "scalar")
+
+
+@query(f"""SELECT event_id, {sql_pick('event_id', [None, '{"a":[1,2,3],"b":"x"}', '{"a":0,"b":"x"}', None])} AS text, {sql_pick('event_id', ['items', None, None, None])} AS resource, {sql_pick('event_id', [None, None, None, 'expected_colon'])} AS reason, CAST({sql_pick('event_id', [1, 2, 2, 0])} AS BIGINT) AS visited FROM events""")
+def q_mutate_over(t):
+    """Nodes over a limit: the walk ends, they stay as they are, or something else takes their place; broken texts have a reason."""
+    x = F.when(F.col("event_id") % 4 == 3, '{"a"}').otherwise('{"b": "x", "a": [1, 2, 3]}')
+    turns = [("abort", (0, 3)), ("skip", (1,)), ("replace", (2,))]
+    made = [mutate_column(F.when((F.col("event_id") % 4).isin(*of), x), (), Limits(items=2), how, "0") for how, of in turns]
+    df = t("events").select("event_id", *[m.alias(how) for m, (how, _) in zip(made, turns)])
+    return df.select("event_id", F.coalesce(*[how for how, _ in turns]).alias("m")).select("event_id", "m.text", "m.resource", "m.reason", "m.visited")
+
+
+@query(f"""
+SELECT event_id, {sql_pick('event_id', ['{"raw":[12, 3]}', None, None, None, None])} AS json, {sql_pick('event_id', [None, 'budget', 'budget', 'invalid_raw_json', 'budget'])} AS kind,
+       {sql_pick('event_id', [None, 'depth', 'number_bytes', None, 'number_bytes'])} AS resource, CAST({sql_pick('event_id', [-1, 4, 4, -1, 5])} AS BIGINT) AS observed FROM events
+""")
+def q_encode_budgets(t):
+    """What is in raw fragments counts as any other value; a broken limit comes before a broken fragment."""
+    df = t("events").select("event_id", pick("event_id", ["[12, 3]", "[1,[2]]", "1234", "[1 2]", "[12345"]).alias("raw"))
+    df = encode_rows(df, ["raw"], raw=["raw"], limits=Limits(depth=3, number_bytes=3))
+    return df.select("event_id", "json", "error.kind", "error.resource", F.coalesce("error.observed", F.lit(-1)).cast("bigint").alias("observed"))
+
+
+@query("SELECT '{\"id\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\"}' AS json FROM orders")
+def q_write_lines(t):
+    """Rows written as lines of JSON, and read again."""
+    rows = encode_rows(t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")))
+    path = scratch(t.spark, "lines")
+    write_lines(rows, "json", path)
+    return read_lines(t.spark, path).select(F.col("text").alias("json"))

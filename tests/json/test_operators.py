@@ -1,6 +1,7 @@
 import pytest
 from granary.functions import measure
-from granary.operators.decode import decode, decode_array, decode_object, decode_strict, validate
+from granary.functions.scan import with_scan
+from granary.operators.decode import decode, decode_array, decode_object, decode_strict, strict_value, validate
 from granary.operators.encode import encode_rows, float_text
 from granary.operators.sessions import Usage, admit, run_sessions
 from granary.operators.tree import Rule, account, mutate, register_tree, render, build, tree_nodes, walk
@@ -89,6 +90,17 @@ def test_clashing_columns(spark):
     assert got.columns == ["t", "value", "error", "v", "e"] and got.first().value == "x"
 
 
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([('{"x":1}', 1)], "`a.b` string, `c.d` int")
+    assert decode(df, "a.b", schema="x int").first()["value"]["x"] == 1
+    assert validate(df, "a.b", exact=True).first()["valid"]
+    assert df.select(strict_value("a.b").isNotNull()).first()[0]
+    assert encode_rows(df, ["c.d", "a.b"], raw=["a.b"]).first()["json"] == '{"c.d":1,"a.b":{"x":1}}'
+    assert tree_nodes(df, "a.b", keep=["c.d"]).count() == 2
+    assert run_sessions(df, "a.b", key=["c.d"], order=["c.d"], limits=Limits(nodes=2)).first()["accepted"]
+    assert with_scan(df, "a.b").first()["scan"]["valid"]
+
+
 def test_tree(spark):
     rows = walk('{"b":[1,"x"],"a":{}}')
     assert [(r["enter_ord"], r["leave_ord"], r["depth"], r["loc"], r["idx"], r["key"], r["kind"]) for r in rows] == [
