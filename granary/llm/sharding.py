@@ -65,7 +65,8 @@ def assign(df: DataFrame, key: str, tree: Tree, out: str = "shard") -> DataFrame
     racks = [F.when(here == r, _winner(k, f"r{r}k", [sum(x) for x in region])) for r, region in enumerate(tree.regions) if sum(map(sum, region)) > 0]
     df = df.withColumn("_rack", F.coalesce(*racks))
     leaves = [F.when((here == r) & (F.col("_rack") == q), _winner(k, f"r{r}k{q}s", list(tree.regions[r][q])) + at) for (r, q), at in first.items() if sum(tree.regions[r][q]) > 0]
-    return df.withColumn(out, F.coalesce(*leaves).cast("int")).drop("_region", "_rack")
+    # A leaf always wins; said to be never null, the shard brings no filter with it, which would draw all over again.
+    return df.withColumn(out, F.coalesce(*leaves, F.lit(-1)).cast("int")).drop("_region", "_rack")
 
 
 def _with_place(docs: DataFrame) -> DataFrame:
