@@ -345,8 +345,10 @@ def q_mutate_limits(t):
     text = F.lit('{"c":1,"a":{"b":[1,2]}}')
     zero, over = Rule(keys=frozenset(["c"]), put="0"), Rule(keys=frozenset(["a"]), skip=True)
     df = t("events").select("event_id", text.alias("text"))
-    made = {"a": mutate_column(F.col("text"), (zero,), Limits(nodes=2)), "b": mutate_column(F.col("text"), (zero, over)), "c": mutate_column(F.col("text"), (zero,))}
-    df = df.withColumns(made).withColumn("m", F.element_at(F.array("a", "b", "c"), (F.col("event_id") % 3 + 1).cast("int")))
+    # Each row is rewritten in one of the ways only.
+    own = lambda i: F.when(F.col("event_id") % 3 == i, F.col("text"))
+    made = {"a": mutate_column(own(0), (zero,), Limits(nodes=2)), "b": mutate_column(own(1), (zero, over)), "c": mutate_column(own(2), (zero,))}
+    df = df.withColumns(made).withColumn("m", F.coalesce("a", "b", "c"))
     return df.select("event_id", "m.text", "m.resource", "m.visited")
 
 
