@@ -6,7 +6,8 @@ and are then spelled byte by byte.  For each bit, several predictors look up cou
 hash of their context and of the place in the code: no context, the segment before, the two before, and the
 one before the last; for spelled bytes, the last 1, 2 and 4 bytes and all so far.  Their stretched
 probabilities are added with weights that a gate selects, and the sum is refined by a table that is learnt
-from what came out at such sums.
+from what came out at such sums.  Weights are those that foretell the bits of all training texts best, each bit
+from all counts but its own; for this the bits are counted by what the predictors say of them, in steps.
 
 Counts are whole numbers, and costs are summed as whole numbers, so neither depends on any order.
 """
@@ -31,8 +32,6 @@ PREDICTORS, WORD_GATE, BYTE_GATE = 4, (2, 1), (3, 2)
 GATES = 16
 #: Steps of the refining table over the stretched sum from -LIMIT to LIMIT, for each gate.
 STEPS, LIMIT = 48, 12
-#: Bits after which the weights move, and how far.
-BATCH, RATE = 2048, 0.3
 #: The last symbol of the bytes' code: the segment ends.
 STOP = 256
 #: The first symbols of the lexicon's code: a segment that is spelled, and the text's end.
@@ -301,16 +300,30 @@ _FINE = 1 << 12
 _COST = np.rint(np.log2(1 + np.exp(np.outer([1, -1], (np.arange(_FINE) + 0.5) * (2 * LIMIT / _FINE) - LIMIT))) * UNIT).astype(np.int64).ravel()
 
 
+#: Bounds of the 16 steps into which stretched probabilities are sorted to learn from them, and what stands for each step.
+_BOUNDS = np.array([-7.0, -5.2, -3.9, -2.9, -2.0, -1.2, -0.4, 0.0, 0.4, 1.2, 2.0, 2.9, 3.9, 5.2, 7.0])
+_STANDS = np.r_[-8.2, (_BOUNDS[:-1] + _BOUNDS[1:]) / 2, 8.2]
+#: By pair of counts less the bit itself: its step, below how often it was seen.
+_STEP = np.searchsorted(_BOUNDS, _WITHOUT[0], "right").astype(np.uint8)
+_SEEN_STEP = (_WITHOUT[1].astype(np.uint8) << np.uint8(4)) + _STEP
+#: Cells of the table of what is learnt from: the bit, how often each gating predictor was seen, and each predictor's step.
+CELLS = 1 << 21
+#: Weights are drawn to where they begin as if by so much of what was seen.
+_DRAWN = 20.0
+
+
 @dataclass
 class Weights:
-    """Weights by gate, and the refining table's counts; one each for words and for bytes."""
+    """Weights by gate, and the refining table's counts; one each for words and for bytes.
+
+    ``seen`` counts, over all that is learnt from, each combination of the bit and of what the predictors say of
+    it, in 16 steps each, when the bit itself isn't counted.
+    """
 
     gated: tuple[int, int]
     weights: np.ndarray = field(default_factory=lambda: np.full((GATES, PREDICTORS), 0.35))
     refined: np.ndarray = field(default_factory=lambda: np.zeros((GATES * STEPS, 2)))
-    #: Sums of the weights after each batch, times how many of its bits each gate had; and those bits.
-    summed: np.ndarray = field(default_factory=lambda: np.zeros((GATES, PREDICTORS)))
-    learnt: np.ndarray = field(default_factory=lambda: np.zeros(GATES))
+    seen: np.ndarray | None = None
 
     def _refining(self) -> np.ndarray:
         # A step of the table begins as what the sum itself says, worth 20 bits.
@@ -320,26 +333,41 @@ class Weights:
     def _gate(self, levels: list[np.ndarray]) -> np.ndarray:
         return (levels[0] * np.int8(4) + levels[1]).astype(np.int64)
 
-    def learn(self, bit: np.ndarray, codes: list[np.ndarray], times: np.ndarray) -> None:
-        """Online: foretells a batch, each bit from all that was counted but itself, then moves weights and table by it."""
-        side = bit.astype(np.intp)
-        at = [c.astype(np.intp) + (side << 16) for c in codes]
-        inputs = [_WITHOUT[0].take(a) for a in at]
-        gate = self._gate([_WITHOUT[1].take(at[g]) for g in self.gated])
-        for i in range(0, len(bit), BATCH):
-            *x, g, b, w = (v[i : i + BATCH] for v in (*inputs, gate, side, times))
-            total = np.zeros(len(g))
-            for j in range(PREDICTORS):
-                total += self.weights[:, j].take(g) * x[j]
-            np.clip(total, -LIMIT, LIMIT, out=total)
-            error = (b - 1 / (1 + np.exp(-total))) * w
-            share = np.bincount(g, w, GATES)
-            step = RATE / np.maximum(share, 32)
-            for j in range(PREDICTORS):
-                self.weights[:, j] += step * np.bincount(g, error * x[j], GATES)
-            self.refined += np.bincount(_cell(g, total) * 2 + b, w, GATES * STEPS * 2).reshape(-1, 2)
-            self.summed += self.weights * share[:, None]
-            self.learnt += share
+    def _fields(self) -> list[tuple[int, int, int]]:
+        """Predictors, gating ones first, with the place and size of their bits in the number of a cell."""
+        rest = [j for j in range(PREDICTORS) if j not in self.gated]
+        return [(self.gated[0], 14, 6), (self.gated[1], 8, 6), (rest[0], 4, 4), (rest[1], 0, 4)]
+
+    def see(self, bit: np.ndarray, codes: list[np.ndarray], times: np.ndarray | None = None) -> None:
+        """Counts some bits; in whole numbers, so in any order."""
+        if self.seen is None:
+            self.seen = np.zeros(CELLS, np.int64)
+        side = bit.astype(np.intp) << 16
+        cell = side << 4
+        for j, at, size in self._fields():
+            part = codes[j] + side
+            cell += (_SEEN_STEP if size == 6 else _STEP).take(part).astype(np.intp) << at
+        np.add.at(self.seen, cell, np.ones(len(cell), np.int64) if times is None else times.astype(np.int64))
+
+    def settle(self) -> None:
+        """The weights that foretell all that was seen best, found by Newton's steps for each gate, and the refining table at these."""
+        if self.seen is None or not self.seen.any():
+            return
+        both = self.seen.reshape(2, -1)
+        cell = np.flatnonzero(both.any(axis=0))
+        zeros, ones = both[:, cell].astype(np.float64)
+        x, levels = np.empty((len(cell), PREDICTORS)), []
+        for j, at, size in self._fields():
+            part = cell >> at & ((1 << size) - 1)
+            x[:, j] = _STANDS[part & 15]
+            levels += [part >> 4] if size == 6 else []
+        gate = self._gate(levels)
+        for g in np.unique(gate):
+            own = gate == g
+            self.weights[g] = _best(x[own], zeros[own], ones[own], self.weights[g])
+        total = np.clip((self.weights[gate] * x).sum(axis=1), -LIMIT, LIMIT)
+        at = _cell(gate, total) * 2
+        self.refined = (np.bincount(at, zeros, GATES * STEPS * 2) + np.bincount(at + 1, ones, GATES * STEPS * 2)).reshape(-1, 2)
 
     def cost(self, bit: np.ndarray, codes: list[np.ndarray], first: np.ndarray | None = None) -> np.ndarray:
         """What each bit costs, in parts of a bit; ``first`` is what the first predictor says, where that is known."""
@@ -364,6 +392,27 @@ class Weights:
         return _COST.take(step)
 
 
+def _best(x: np.ndarray, zeros: np.ndarray, ones: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Weights of least cost for how often a zero and a one came where the predictors say ``x``, drawn to ``begin``."""
+
+    def cost(w: np.ndarray) -> float:
+        total = x @ w
+        return float((zeros * np.logaddexp(0, total) + ones * np.logaddexp(0, -total)).sum() + _DRAWN / 2 * ((w - begin) ** 2).sum())
+
+    w, least = begin.copy(), cost(begin)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ ((zeros + ones) * p - ones) + _DRAWN * (w - begin)
+        bend = (x * ((zeros + ones) * p * (1 - p))[:, None]).T @ x + _DRAWN * np.eye(len(w))
+        step, far = np.linalg.solve(bend, slope), 1.0
+        while far > 1e-4 and (now := cost(w - far * step)) >= least:
+            far /= 2
+        if far <= 1e-4 or least - now < 1e-9 * least:
+            break
+        w, least = w - far * step, now
+    return w
+
+
 def _cell(gate: np.ndarray, total: np.ndarray) -> np.ndarray:
     return gate * STEPS + np.minimum((total + np.float32(LIMIT)) * np.float32(STEPS / (2 * LIMIT)), STEPS - 1).astype(np.int64)
 
@@ -378,13 +427,23 @@ class Model:
     words: Weights = field(default_factory=lambda: Weights(WORD_GATE))
     bytes: Weights = field(default_factory=lambda: Weights(BYTE_GATE))
 
-    def learn(self, p: Parsed) -> None:
-        """Moves weights and refining tables by texts that were counted."""
+    def see(self, p: Parsed) -> None:
+        """Counts what the predictors say of the bits of texts that were counted."""
         code = self.lexicon.code
         for _, _, _, way, slots in word_bits(p, self.lexicon, self.sizes):
-            self.words.learn(code.bit[way], [t[s] for t, s in zip(self.tables, [code.node[way], *slots])], np.ones(len(way)))
+            self.words.see(code.bit.take(way), [t.take(s) for t, s in zip(self.tables, [code.node.take(way), *slots])])
         for i, _, piece, bit, slots in byte_bits(p, self.sizes):
-            self.bytes.learn(bit, [t[s] for t, s in zip(self.tables[PREDICTORS:], slots)], p.times[piece + i].astype(np.float64))
+            self.bytes.see(bit, [t.take(s) for t, s in zip(self.tables[PREDICTORS:], slots)], p.times[piece + i])
+
+    def settle(self) -> None:
+        """Weights and refining tables from all that was seen."""
+        self.words.settle()
+        self.bytes.settle()
+
+    def learn(self, p: Parsed) -> None:
+        """Weights and refining tables from texts that were counted."""
+        self.see(p)
+        self.settle()
 
     def spelled(self, p: Parsed) -> np.ndarray:
         """What each spelled segment costs."""

@@ -1,10 +1,9 @@
 """Scores of texts under a model of logistic context mixing, and under plain counts of their words.
 
-Training documents are read three times: for the counts of words and segments, from which the lexicon
-follows; for the predictors' counts; and, a drawn eighth of them, to learn weights and refining tables
-online, in lanes that are dealt out and ordered by a hash of each document.  Counts are added as whole
-numbers, and so are what lanes learnt, so the model doesn't depend on how files are cut or in which order
-they are read.  A last pass scores all documents.
+All training documents are read three times: for the counts of words and segments, from which the lexicon
+follows; for the predictors' counts; and to learn weights and refining tables, from counts of what the
+predictors say of each bit.  Counts are added as whole numbers, so the model doesn't depend on how files
+are cut or in which order they are read.  A last pass scores all documents.
 
 What is gathered grows with the input: the counts of words and segments without bound, the tables of the
 predictors with the number of training words up to a documented size, which bounds what every task holds.
@@ -15,6 +14,7 @@ all others are joined to the places where they occur.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,22 +23,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import checkpoint, table
-from granary.llm.context_mixing import END, ESCAPE, STOP, UNIT, Lexicon, Model, Parsed, Sizes, coded, count, cut, new_counts, parse, segments
+from granary.llm.context_mixing import CELLS, END, ESCAPE, STOP, UNIT, Lexicon, Model, Parsed, Sizes, coded, count, cut, new_counts, parse, segments
 from granary.llm.tokens import Index, column_bytes, lowered, word_hashes, words
 
 #: Words in the table that goes to all tasks, and segments in the lexicon.
 HEAD, LEXICON = 1_000_000, 1 << 16
-#: One training document of so many teaches weights; all are counted.  A lane has about so many words.
-TEACH, LANE = 8, 200_000
 #: Texts are worked on in blocks of about so many bytes; equal spelled segments of a block are worked on once.
-_BLOCK = 10 << 20
+#: A task holds about 60 bytes for each.
+_BLOCK = 3 << 20
 _END = np.uint64(1)
-#: Weights travel as whole numbers, so that sums don't depend on their order.
-_SCALE = 1_000_000
 #: Counts in a piece of a table, as it is sent.
 _PIECE = 1 << 14
-#: A lane is learnt from in stretches of about so many characters.
-_STRETCH = 1 << 17
 #: Stands for the words of the lexicon where tables are numbered.
 _WORDS = 100
 
@@ -111,21 +106,25 @@ def lexicon_of(gathered: DataFrame, most: int = LEXICON) -> Lexicon:
     return Lexicon(top["key"].to_numpy().view(np.uint64), n, total - int(n.sum()), ends["n"] if ends else 0)
 
 
+_NUMBERS = (np.uint8, np.uint16, np.uint32, np.uint64)
+
+
 def _packed(piece: np.ndarray) -> tuple[int, bytes]:
-    """A piece of a table: which numbers it is written in, and their bytes; sparse ones as places and numbers."""
+    """A piece of a table: which numbers it is written in, and its bytes; places as a row of bits or, if few, as numbers, then the counts there."""
     some = np.flatnonzero(piece)
-    kind = next(i for i, t in enumerate((np.uint8, np.uint16, np.uint32, np.uint64)) if int(piece.max()) <= np.iinfo(t).max)
-    numbers = (np.uint8, np.uint16, np.uint32, np.uint64)[kind]
-    if len(some) * 3 > len(piece):
-        return kind, piece.astype(numbers).tobytes()
-    return kind + 4, some.astype(np.uint16).tobytes() + piece[some].astype(numbers).tobytes()
+    kind = next(i for i, t in enumerate(_NUMBERS) if int(piece.max()) <= np.iinfo(t).max)
+    counts = piece[some].astype(_NUMBERS[kind]).tobytes()
+    if len(some) * 16 > len(piece):
+        return kind, zlib.compress(np.packbits(piece != 0).tobytes().ljust(_PIECE // 8, b"\0") + counts, 1)
+    return kind + 4, some.astype(np.uint16).tobytes() + counts
 
 
 def _add(total: np.ndarray, kind: int, packed: bytes) -> None:
-    numbers = (np.uint8, np.uint16, np.uint32, np.uint64)[kind % 4]
+    numbers = _NUMBERS[kind % 4]
     if kind < 4:
-        got = np.frombuffer(packed, numbers)
-        total[: len(got)] += got
+        packed = zlib.decompress(packed)
+        places = np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, _PIECE // 8)))
+        total[places] += np.frombuffer(packed, numbers, len(places), _PIECE // 8)
     else:
         n = len(packed) // (2 + numbers().itemsize)
         total[np.frombuffer(packed, np.uint16, n)] += np.frombuffer(packed, numbers, n, 2 * n)
@@ -180,6 +179,7 @@ def count_tables(texts: DataFrame, lexicon: Lexicon, sizes: Sizes) -> tuple[list
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([codes.tobytes()], pa.binary())], ["key", "codes"])
 
     got = texts.select("text").mapInArrow(run, "key long, form tinyint, packed binary").repartition("key").mapInArrow(merge, "key long, codes binary").toArrow()
+    held.destroy()
     out = [np.zeros(len(c) // 2, np.uint16) for c in new_counts(lexicon, sizes)]
     named = np.zeros(len(lexicon.hashes) + 2, np.uint64)
     for key, codes in zip(got["key"].to_pylist(), got["codes"]):
@@ -194,50 +194,47 @@ def count_tables(texts: DataFrame, lexicon: Lexicon, sizes: Sizes) -> tuple[list
 
 
 def learn(docs: DataFrame, model: Model, n_words: int) -> Model:
-    """``model`` with weights and refining tables learnt from a drawn share of ``docs`` (doc_id, text).
+    """``model`` with weights and refining tables learnt from all ``docs`` (text), which have ``n_words`` words.
 
-    Documents are dealt to lanes by a hash of id and text and come in its order.  Each lane learns online,
-    bit by bit, weights moving after each small batch; what the lanes learnt is averaged by use.
+    Each task counts what the predictors say of the bits of its documents; pieces of the counts are added up apart.
     """
+    if not n_words:
+        return model
     held = docs.sparkSession.sparkContext.broadcast(model)
-    lanes = max(1, n_words // TEACH // LANE)
-    drawn = docs.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).alias("draw"), "text").filter(F.pmod("draw", F.lit(TEACH)) == 0)
-    dealt = drawn.select(F.pmod(F.xxhash64("draw", F.lit(3)), F.lit(lanes)).alias("lane"), "draw", "text").repartition("lane").sortWithinPartitions("lane", "draw")
-    names = ["key", "a", "b"]
-
-    def rows(m: Model) -> pa.RecordBatch:
-        out = []
-        for t, w in enumerate((m.words, m.bytes)):
-            base = t << 20
-            out += [(base + i, int(x), int(n)) for i, (x, n) in enumerate(zip(np.rint(w.summed * _SCALE).ravel(), np.repeat(np.rint(w.learnt), w.weights.shape[1])))]
-            out += [(base + (1 << 19) + i, int(x), int(y)) for i, (x, y) in enumerate(np.rint(w.refined))]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Stretches are cut by the lane's texts alone, so that they are the same however rows come.
-        now, own, stretch, size = None, None, [], 0
-        for lane, text in ((x.as_py(), y) for batch in batches for x, y in zip(batch.column(0), batch.column(2))):
-            if stretch and (lane != now or size >= _STRETCH):
-                own.learn(parse(*column_bytes(pa.array(stretch, pa.large_string())), own.lexicon))
-                stretch, size = [], 0
-            if lane != now:
-                if own is not None:
-                    yield rows(own)
-                now, own = lane, Model(held.value.lexicon, held.value.sizes, held.value.tables)
-            stretch.append(text.as_py())
-            size += len(stretch[-1] or "")
-        if stretch:
-            own.learn(parse(*column_bytes(pa.array(stretch, pa.large_string())), own.lexicon))
-            yield rows(own)
-
-    got = dealt.mapInArrow(run, "key long, a long, b long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
+        own = Model(held.value.lexicon, held.value.sizes, held.value.tables)
+        for _, data, at in _blocks(batches, 0):
+            own.see(parse(data, at, own.lexicon))
+        for t, w in enumerate((own.words, own.bytes)):
+            for i in range(0, CELLS if w.seen is not None else 0, _PIECE):
+                if w.seen[i : i + _PIECE].any():
+                    kind, packed = _packed(w.seen[i : i + _PIECE])
+                    yield pa.RecordBatch.from_arrays([pa.array([t << 32 | i // _PIECE], pa.int64()), pa.array([kind], pa.int8()), pa.array([packed], pa.binary())], ["key", "form", "packed"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, form, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                _add(sums.setdefault(key, np.zeros(_PIECE, np.int64)), form, packed.as_buffer())
+        for key, total in sums.items():
+            kind, packed = _packed(total)
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([kind], pa.int8()), pa.array([packed], pa.binary())], ["key", "form", "packed"])
+
+    schema = "key long, form tinyint, packed binary"
+    got = docs.select("text").mapInArrow(run, schema).repartition("key").mapInArrow(merge, schema).toArrow()
+    # The disks of driver and executors needn't hold the model twice.
+    held.destroy()
     out = Model(model.lexicon, model.sizes, model.tables)
-    for key, a, b in got:
-        w, i = (out.words, out.bytes)[key >> 20], key & ((1 << 19) - 1)
-        if key >> 19 & 1:
-            w.refined[i] = a, b
-        elif b:
-            w.weights.ravel()[i] = a / _SCALE / b
+    for key, form, packed in zip(got["key"].to_pylist(), got["form"].to_pylist(), got["packed"]):
+        w = (out.words, out.bytes)[key >> 32]
+        if w.seen is None:
+            w.seen = np.zeros(CELLS, np.int64)
+        at = (key & 0xFFFFFFFF) * _PIECE
+        _add(w.seen[at : at + _PIECE], form, packed.as_buffer())
+    out.settle()
+    # The counts themselves needn't travel to the tasks that score.
+    out.words.seen = out.bytes.seen = None
     return out
 
 
