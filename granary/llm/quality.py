@@ -1,7 +1,7 @@
 """Quality by perplexity under an n-gram model of trusted text.
 
-The model is interpolated modified Kneser-Ney over three words, fitted on a bounded sample of the
-documents that labels call good and not toxic.  Its counts and their joins are dealt out by hashes of
+The model is interpolated modified Kneser-Ney over three words, fitted on a drawn half of all the
+documents that labels call good and not toxic; the other half sets the limits.  Its counts and their joins are dealt out by hashes of
 n-grams.  Every document is scored: by joins of its n-grams to the counts, or, where the counts are few
 enough, by sending them to the tasks.  A document is rejected if its perplexity is above a quantile of the
 trusted documents of its language that the model was not fitted on.
@@ -22,9 +22,6 @@ from pyspark.sql import types as T
 from granary.llm.common import checkpoint, draw, sized, table
 from granary.llm.tokens import Index, column_bytes, firsts, lowered, mix, word_hashes, words
 
-#: The model is fitted on at most so many trusted documents, drawn by their ids, and on at most half of them.
-#: This bounds the model, and so the broadcast; perplexities and thresholds cover all documents.
-SAMPLE = 3000
 #: Trusted documents above this quantile of their language would be rejected.
 QUANTILE = 0.995
 #: A document's mean is drawn to its language's median as if it had so many more words of that kind.
@@ -247,13 +244,22 @@ class Classifier:
         return df.withColumn("value", value).withColumn("kept", F.coalesce(value <= limit, F.lit(True))).withColumn("limit", limit).drop("_l", "_lang", "median", "_median", "_limit")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, quantile: float = QUANTILE, most: int = HELD, every: bool = False) -> tuple[Classifier, DataFrame | None]:
-    """Fits the model and, by the trusted documents left over, the limits; with ``every``, also the scores of all ``docs``."""
+def train(docs: DataFrame, labels: DataFrame, *, sample: int | None = None, quantile: float = QUANTILE, most: int = HELD, every: bool = False) -> tuple[Classifier, DataFrame | None]:
+    """Fits the model and, by the trusted documents left over, the limits; with ``every``, also the scores of all ``docs``.
+
+    Every trusted document counts: those with a draw in the lower half for the model, the others for the limits.
+    A caller may bound the model to ``sample`` documents.
+    """
     good = checkpoint(trusted(labels).join(docs.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_semi"))
-    fitted = checkpoint(good.orderBy("_draw", "doc_id").limit(min(sample, (good.count() + 1) // 2)))
-    # ``sample`` bounds this side.
-    counts = fit(docs.join(F.broadcast(fitted), "doc_id", "left_semi"))
-    others = checkpoint(good.join(F.broadcast(fitted.select("doc_id")), "doc_id", "left_anti").select("doc_id"))
+    if sample is None:
+        lower = F.col("_draw") < "8"
+        # A few documents may all be in one half.
+        lower = lower if good.filter(lower).limit(1).count() else F.lit(True)
+        fitted, others = checkpoint(good.filter(lower).select("doc_id")), checkpoint(good.filter(~lower).select("doc_id"))
+    else:
+        fitted = checkpoint(good.orderBy("_draw", "doc_id").limit(min(sample, (good.count() + 1) // 2)).select("doc_id"))
+        others = checkpoint(good.join(sized(fitted), "doc_id", "left_anti").select("doc_id"))
+    counts = fit(docs.join(sized(fitted), "doc_id", "left_semi"))
     scores = checkpoint(score(docs, counts, ["doc_id", "lang"], most)) if every else None
     # Without the scores of all, only trusted documents are scored here.
     apart = scores.join(sized(others), "doc_id", "left_semi") if every else score(docs.select("doc_id", "lang", "text").join(sized(others), "doc_id", "left_semi"), counts, ["lang"], most)
