@@ -38,6 +38,8 @@ STOP = 256
 ESCAPE, END = 0, 1
 #: Costs are counted in so many parts of a bit.
 UNIT = 1 << 20
+#: Costs of so many spelled segments are kept, and fewer than so many and a block's more.
+KNOWN = 1 << 20
 #: Bits are worked on in chunks of about so many.
 _CHUNK = 1 << 18
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -181,6 +183,52 @@ class Parsed:
     where: np.ndarray
     starts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     ends: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    #: Hashes of the different spelled segments, sorted.
+    names: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+
+    def only(self, which: np.ndarray) -> Parsed:
+        """Some of the different spelled segments, without any text."""
+        data, at = cut(self.data, self.at[which], self.at[which + 1])
+        none = np.zeros(0, np.int64)
+        return Parsed(none, none, (), data, at, self.times[which], none, names=self.names[which])
+
+
+class Pool:
+    """The different spelled segments of many blocks and how often they came, so that each is worked on once.
+
+    ``add`` gives what is to be worked on when more than about ``most`` bytes of them are held, ``close`` the rest.
+    """
+
+    def __init__(self, most: int = 1 << 21):
+        self.most, self.parts, self.merged, self.size = most, [], 0, 0
+
+    def _merge(self) -> Parsed:
+        parts = [p for p in self.parts if len(p.names)]
+        if len(parts) < 2:
+            return parts[0] if parts else self.parts[0]
+        names, first, where = np.unique(np.concatenate([p.names for p in parts]), return_index=True, return_inverse=True)
+        times = np.bincount(where, np.concatenate([p.times for p in parts])).astype(np.int64)
+        starts = np.cumsum([0, *[len(p.data) for p in parts]])
+        begin = np.concatenate([p.at[:-1] + a for p, a in zip(parts, starts)])
+        end = np.concatenate([p.at[1:] + a for p, a in zip(parts, starts)])
+        data, at = cut(np.concatenate([p.data for p in parts]), begin[first], end[first])
+        none = np.zeros(0, np.int64)
+        return Parsed(none, none, (), data, at, times, none, names=names)
+
+    def add(self, p: Parsed) -> Parsed | None:
+        self.parts.append(p.only(np.arange(len(p.names))))
+        self.size += len(p.data)
+        if self.size <= self.merged + max(self.merged, self.most // 2):
+            return None
+        p = self._merge()
+        if len(p.data) > self.most:
+            self.parts, self.merged, self.size = [], 0, 0
+            return p
+        self.parts, self.merged, self.size = [p], len(p.data), len(p.data)
+        return None
+
+    def close(self) -> Parsed | None:
+        return self._merge() if self.parts else None
 
 
 def cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,11 +253,11 @@ def parse(data: np.ndarray, at: np.ndarray, lexicon: Lexicon) -> Parsed:
     one, two = before(1), before(2)
     keys = (one * _K, mix(one + two * _K), mix(two + np.uint64(0x77)))
     spelled = np.flatnonzero(~hit)
-    _, first, where, times = np.unique(hashes[spelled], return_index=True, return_inverse=True, return_counts=True)
+    names, first, where, times = np.unique(hashes[spelled], return_index=True, return_inverse=True, return_counts=True)
     first = spelled[first]
     held, to = cut(data, starts[first], ends[first])
     out = np.insert(held.astype(np.int64), to[1:], STOP)
-    return Parsed(symbols, text, keys, out, to + np.arange(len(to)), times, where, starts, ends)
+    return Parsed(symbols, text, keys, out, to + np.arange(len(to)), times, where, starts, ends, names)
 
 
 def _on_ways(code: Code, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,6 +327,12 @@ def new_counts(lexicon: Lexicon, sizes: Sizes) -> list[np.ndarray]:
 
 def count(p: Parsed, lexicon: Lexicon, sizes: Sizes, counts: list[np.ndarray]) -> None:
     """Adds what the texts hold."""
+    count_words(p, lexicon, sizes, counts)
+    count_spelled(p, sizes, counts)
+
+
+def count_words(p: Parsed, lexicon: Lexicon, sizes: Sizes, counts: list[np.ndarray]) -> None:
+    """Adds the symbols."""
     # Without a context, each symbol adds to its way as often as it comes.
     code, often = lexicon.code, np.bincount(p.symbols)
     owner, way = _on_ways(code, np.flatnonzero(often))
@@ -287,6 +341,10 @@ def count(p: Parsed, lexicon: Lexicon, sizes: Sizes, counts: list[np.ndarray]) -
         bit = code.bit.take(way)
         for table, s in zip(counts[1:], slots):
             np.add.at(table, s * 2 + bit, np.ones(len(bit), table.dtype))
+
+
+def count_spelled(p: Parsed, sizes: Sizes, counts: list[np.ndarray]) -> None:
+    """Adds the spelled segments, each as often as it comes."""
     for i, _, piece, bit, slots in byte_bits(p, sizes):
         weight = p.times[piece + i]
         for table, s in zip(counts[PREDICTORS:], slots):
@@ -426,12 +484,20 @@ class Model:
     tables: list[np.ndarray]
     words: Weights = field(default_factory=lambda: Weights(WORD_GATE))
     bytes: Weights = field(default_factory=lambda: Weights(BYTE_GATE))
+    #: Hashes of spelled segments, sorted, and what they cost, as far as this process has found out.
+    known: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
 
     def see(self, p: Parsed) -> None:
         """Counts what the predictors say of the bits of texts that were counted."""
+        self.see_words(p)
+        self.see_spelled(p)
+
+    def see_words(self, p: Parsed) -> None:
         code = self.lexicon.code
         for _, _, _, way, slots in word_bits(p, self.lexicon, self.sizes):
             self.words.see(code.bit.take(way), [t.take(s) for t, s in zip(self.tables, [code.node.take(way), *slots])])
+
+    def see_spelled(self, p: Parsed) -> None:
         for i, _, piece, bit, slots in byte_bits(p, self.sizes):
             self.bytes.see(bit, [t.take(s) for t, s in zip(self.tables[PREDICTORS:], slots)], p.times[piece + i])
 
@@ -453,6 +519,23 @@ class Model:
             out[i:k] = np.bincount(piece, cost, k - i).astype(np.int64)
         return out
 
+    def spelled_once(self, p: Parsed) -> np.ndarray:
+        """The same, where a segment that an earlier block had isn't worked on again."""
+        if len(p.names) < len(p.at) - 1:
+            return self.spelled(p)
+        names, costs = self.known
+        at = np.minimum(np.searchsorted(names, p.names), max(len(names) - 1, 0))
+        hit = names[at] == p.names if len(names) else np.zeros(len(p.names), bool)
+        new = np.flatnonzero(~hit)
+        out = np.zeros(len(p.names), np.int64)
+        out[hit] = costs[at[hit]]
+        out[new] = self.spelled(p.only(new))
+        if len(names) + len(new) > KNOWN:
+            names, costs = names[:0], costs[:0]
+        place = np.searchsorted(names, p.names[new])
+        self.known = np.insert(names, place, p.names[new]), np.insert(costs, place, out[new])
+        return out
+
     def cost(self, p: Parsed) -> np.ndarray:
         """What each symbol costs, spelling included."""
         out, code = np.zeros(len(p.symbols), np.int64), self.lexicon.code
@@ -461,5 +544,5 @@ class Model:
             cost = self.words.cost(code.bit.take(way), [t.take(s) for t, s in zip(self.tables[1:], slots)], first.take(way))
             # Whole numbers below 2^53 are added exactly.
             out[i:k] = np.bincount(owner, cost, k - i).astype(np.int64)
-        out[p.symbols == ESCAPE] += self.spelled(p)[p.where]
+        out[p.symbols == ESCAPE] += self.spelled_once(p)[p.where]
         return out

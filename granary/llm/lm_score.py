@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import checkpoint, table
-from granary.llm.context_mixing import CELLS, END, ESCAPE, STOP, UNIT, Lexicon, Model, Parsed, Sizes, coded, count, cut, new_counts, parse, segments
+from granary.llm.context_mixing import CELLS, END, ESCAPE, STOP, UNIT, Lexicon, Model, Parsed, Pool, Sizes, coded, count_spelled, count_words, cut, new_counts, parse, segments
 from granary.llm.tokens import Index, column_bytes, lowered, word_hashes, words
 
 #: Words in the table that goes to all tasks, and segments in the lexicon.
@@ -32,6 +32,8 @@ HEAD, LEXICON = 1_000_000, 1 << 16
 #: A task holds about 60 bytes for each.
 _BLOCK = 3 << 20
 _END = np.uint64(1)
+#: Counts of words and segments that a task holds before it adds up equal ones.
+_TALLY = 1 << 20
 #: Counts in a piece of a table, as it is sent.
 _PIECE = 1 << 14
 #: Stands for the words of the lexicon where tables are numbered.
@@ -81,17 +83,45 @@ def _word_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, counts > 0
 
 
+def _tally(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different hashes, sorted, and the sums of their counts."""
+    if len(counts) < 2:
+        return counts[0] if counts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    key, n = (np.concatenate(c) for c in zip(*counts))
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return key[new], np.add.reduceat(n[order], new) if len(new) else n
+
+
 def gather(texts: DataFrame) -> DataFrame:
     """(kind, key, n): how often each word (kind 0, A-Z lowered) and each segment (kind 1) comes, by its hash; ends count as words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What several blocks have is sent once; a task holds about 2 * _TALLY words and as many segments.
+        held, pending = ([], []), 0
+
+        def sent(kind: int):
+            key, n = _tally(held[kind])
+            for i in range(0, len(key), 65536):
+                some = key[i : i + 65536].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int8)), pa.array(some), pa.array(n[i : i + 65536])], ["kind", "key", "n"])
+            held[kind].clear()
+
         for _, data, at in _blocks(batches, 0):
             starts, _ = segments(data, at)
             for kind, hashes in ((0, np.r_[_tokens(data, at)[0], np.full(len(at) - 1, _END)]), (1, word_hashes(data, starts, np.r_[starts[1:], len(data)][: len(starts)]))):
                 key, n = np.unique(hashes, return_counts=True)
-                for i in range(0, len(key), 65536):
-                    some = key[i : i + 65536].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int8)), pa.array(some), pa.array(n[i : i + 65536].astype(np.int64))], ["kind", "key", "n"])
+                held[kind].append((key, n.astype(np.int64)))
+                pending += len(key)
+            if pending > _TALLY:
+                for kind in (0, 1):
+                    held[kind][:] = [_tally(held[kind])]
+                    if len(held[kind][0][0]) > _TALLY // 2:
+                        yield from sent(kind)
+                pending = 0
+        for kind in (0, 1):
+            yield from sent(kind)
 
     return texts.select("text").mapInArrow(run, "kind tinyint, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -139,20 +169,24 @@ def count_tables(texts: DataFrame, lexicon: Lexicon, sizes: Sizes) -> tuple[list
     held = spark.sparkContext.broadcast((lexicon, sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, named = None, None
+        counts, named, pool = None, None, Pool()
         for _, data, at in _blocks(batches, 0):
             if counts is None:
                 counts, named = new_counts(*held.value), np.zeros(len(held.value[0].hashes) + 2, np.uint64)
                 todo = np.ones(len(named), bool)
                 todo[[ESCAPE, END]] = False
             p = parse(data, at, held.value[0])
-            count(p, *held.value, counts)
+            count_words(p, *held.value, counts)
+            if (some := pool.add(p)) is not None:
+                count_spelled(some, held.value[1], counts)
             # The words of symbols that come for the first time.
             symbols = p.symbols[p.symbols != END]
             new = np.flatnonzero(todo[symbols])
             symbols, first = np.unique(symbols[new], return_index=True)
             named[symbols] = _word_of(*cut(data, p.starts[new[first]], p.ends[new[first]]))[0]
             todo[symbols] = False
+        if (some := pool.close()) is not None:
+            count_spelled(some, held.value[1], counts)
         if counts is not None:
             for i in range(0, len(named), _PIECE):
                 yield pa.RecordBatch.from_arrays([pa.array([_WORDS << 32 | i // _PIECE], pa.int64()), pa.array([3], pa.int8()), pa.array([named[i : i + _PIECE].tobytes()], pa.binary())], ["key", "form", "packed"])
@@ -204,8 +238,14 @@ def learn(docs: DataFrame, model: Model, n_words: int) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(held.value.lexicon, held.value.sizes, held.value.tables)
+        pool = Pool()
         for _, data, at in _blocks(batches, 0):
-            own.see(parse(data, at, own.lexicon))
+            p = parse(data, at, own.lexicon)
+            own.see_words(p)
+            if (some := pool.add(p)) is not None:
+                own.see_spelled(some)
+        if (some := pool.close()) is not None:
+            own.see_spelled(some)
         for t, w in enumerate((own.words, own.bytes)):
             for i in range(0, CELLS if w.seen is not None else 0, _PIECE):
                 if w.seen[i : i + _PIECE].any():
