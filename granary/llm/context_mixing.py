@@ -40,8 +40,10 @@ ESCAPE, END = 0, 1
 UNIT = 1 << 20
 #: Costs of so many spelled segments are kept, and fewer than so many and a block's more.
 KNOWN = 1 << 20
-#: Bits are worked on in chunks of about so many.
-_CHUNK = 1 << 18
+#: Bits are worked on in chunks of about so many, and symbols after their contexts are held against each other in chunks of so many.
+_CHUNK, _ITEMS = 1 << 15, 1 << 18
+#: Spelled segments that begin with the same bytes, up to so many, share the work on these.
+_PREFIX = 16
 _K = np.uint64(0x9E3779B97F4A7C15)
 _START, _SPELLED = np.uint64(0x5A17), np.uint64(0xE5CA)
 
@@ -161,15 +163,58 @@ class Lexicon:
         return Index(self.hashes)
 
     @cached_property
-    def nodes(self) -> np.ndarray:
-        """A hash of each inner node on each way."""
-        return mix((self.code.node + 1).astype(np.uint64)) * _K
+    def names(self) -> np.ndarray:
+        """A hash of each symbol as a context, and of a text's beginning after them."""
+        out = mix(np.arange(len(self.hashes) + 3).astype(np.uint64) + np.uint64(9))
+        out[ESCAPE], out[-1] = _SPELLED, _START
+        return out
+
+    @property
+    def width(self) -> int:
+        """Bits that tell symbols and the beginning apart."""
+        return (len(self.hashes) + 2).bit_length()
+
+    @cached_property
+    def _order(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lengths = self.code.lengths
+        begin = np.zeros(len(lengths), np.uint32)
+        for k in range(min(32, int(lengths.max()))):
+            go = np.flatnonzero(lengths > k)
+            begin[go] |= self.code.bit[self.code.first[go] + k].astype(np.uint32) << np.uint32(31 - k)
+        order = np.argsort(begin, kind="stable")
+        rank = np.empty(len(order), np.uint64)
+        rank[order] = np.arange(len(order), dtype=np.uint64)
+        return order, rank, begin[order]
+
+    @property
+    def rank(self) -> np.ndarray:
+        """The place of each symbol in the order of codes."""
+        return self._order[1]
+
+    @property
+    def ranked(self) -> np.ndarray:
+        """The symbols in the order of codes."""
+        return self._order[0]
+
+    @cached_property
+    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each symbol in the order of codes, where its bits begin in the code's lists and how many they are; a hash of the inner node at each place there, and its bit."""
+        code = self.code
+        return code.first[self.ranked], code.lengths[self.ranked], mix((code.node + 1).astype(np.uint64)) * _K, code.bit.astype(np.uint8)
+
+    def shared(self, context: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """How many first bits the code of each symbol shares with the one before in the list, where that has the same context."""
+        begin = self._order[2].take(rank)
+        # The first bit that differs; whole numbers of 32 bits are exact as floats.
+        same = 32 - np.frexp((begin[1:] ^ begin[:-1]).astype(np.float64))[1]
+        return np.r_[np.zeros(min(len(rank), 1), np.uint8), np.where(context[1:] == context[:-1], same, 0).astype(np.uint8)]
 
 
 @dataclass
 class Parsed:
-    """Texts as symbols, an end after each; ``keys`` has the three hashed contexts of each symbol.
+    """Texts as symbols, an end after each; ``ways`` has the two symbols before and the symbol's place in the order of codes, as one number.
 
+    ``keys`` are three hashed contexts of each symbol, where they aren't those of the symbols before.
     ``data`` and ``at`` are the different spelled segments, each with STOP, ``times`` how often each came and
     ``where`` which one stands at each escape.  ``starts`` and ``ends`` are the places of all segments.
     """
@@ -185,6 +230,7 @@ class Parsed:
     ends: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     #: Hashes of the different spelled segments, sorted.
     names: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    ways: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
     def only(self, which: np.ndarray) -> Parsed:
         """Some of the different spelled segments, without any text."""
@@ -199,21 +245,12 @@ class Pool:
     ``add`` gives what is to be worked on when more than about ``most`` bytes of them are held, ``close`` the rest.
     """
 
-    def __init__(self, most: int = 1 << 21):
+    def __init__(self, most: int = 3 << 20):
         self.most, self.parts, self.merged, self.size = most, [], 0, 0
 
     def _merge(self) -> Parsed:
         parts = [p for p in self.parts if len(p.names)]
-        if len(parts) < 2:
-            return parts[0] if parts else self.parts[0]
-        names, first, where = np.unique(np.concatenate([p.names for p in parts]), return_index=True, return_inverse=True)
-        times = np.bincount(where, np.concatenate([p.times for p in parts])).astype(np.int64)
-        starts = np.cumsum([0, *[len(p.data) for p in parts]])
-        begin = np.concatenate([p.at[:-1] + a for p, a in zip(parts, starts)])
-        end = np.concatenate([p.at[1:] + a for p, a in zip(parts, starts)])
-        data, at = cut(np.concatenate([p.data for p in parts]), begin[first], end[first])
-        none = np.zeros(0, np.int64)
-        return Parsed(none, none, (), data, at, times, none, names=names)
+        return _joined(parts)[0] if len(parts) > 1 else parts[0] if parts else self.parts[0]
 
     def add(self, p: Parsed) -> Parsed | None:
         self.parts.append(p.only(np.arange(len(p.names))))
@@ -231,6 +268,42 @@ class Pool:
         return self._merge() if self.parts else None
 
 
+def _joined(parts: list[Parsed]) -> tuple[Parsed, np.ndarray]:
+    """The different spelled segments of some blocks, without any text, and which one each of theirs is, block by block."""
+    names, first, where = np.unique(np.concatenate([p.names for p in parts]), return_index=True, return_inverse=True)
+    times = np.bincount(where, np.concatenate([p.times for p in parts])).astype(np.int64)
+    starts = np.cumsum([0, *[len(p.data) for p in parts]])
+    begin = np.concatenate([p.at[:-1] + a for p, a in zip(parts, starts)])
+    end = np.concatenate([p.at[1:] + a for p, a in zip(parts, starts)])
+    data, at = cut(np.concatenate([p.data for p in parts]), begin[first], end[first])
+    none = np.zeros(0, np.int64)
+    return Parsed(none, none, (), data, at, times, none, names=names), where
+
+
+class Ways:
+    """Symbols after their contexts (``Parsed.ways``) of many blocks, so that equal ones are worked on once.
+
+    ``add`` gives the sorted different ones and how often each came when more than ``most`` are held, ``close`` the rest.
+    """
+
+    def __init__(self, most: int = 1 << 22):
+        self.most, self.parts, self.size = most, [], 0
+
+    def add(self, p: Parsed) -> tuple[np.ndarray, np.ndarray] | None:
+        self.parts.append(p.ways)
+        self.size += len(p.ways)
+        return self.close() if self.size > self.most else None
+
+    def close(self) -> tuple[np.ndarray, np.ndarray] | None:
+        if not self.size:
+            return None
+        ways = np.concatenate(self.parts)
+        self.parts, self.size = [], 0
+        ways.sort()
+        new = np.flatnonzero(np.r_[True, ways[1:] != ways[:-1]])
+        return ways[new], np.diff(np.r_[new, len(ways)])
+
+
 def cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes between some places, one after another, and where each begins and the last ends."""
     size = ends - starts
@@ -246,18 +319,20 @@ def parse(data: np.ndarray, at: np.ndarray, lexicon: Lexicon) -> Parsed:
     after = np.cumsum(counts)
     symbols = np.insert(np.where(hit, found + 2, ESCAPE), after, END)
     text = np.repeat(np.arange(len(counts)), counts + 1)
-    begin = firsts(counts + 1)
-    place = np.arange(len(symbols)) - begin[text]
-    name = np.where(symbols == ESCAPE, _SPELLED, mix(symbols.astype(np.uint64) + np.uint64(9)))
-    before = lambda k: np.where(place >= k, np.r_[np.full(min(k, len(name)), _START), name[: max(len(name) - k, 0)]], _START)
-    one, two = before(1), before(2)
-    keys = (one * _K, mix(one + two * _K), mix(two + np.uint64(0x77)))
+    # The symbols before, at a text's beginning a number after all symbols.
+    begin = after + np.arange(len(counts)) - counts
+    one = np.r_[np.zeros(1, np.uint64), symbols[:-1].astype(np.uint64)][: len(symbols)]
+    one[begin] = len(lexicon.hashes) + 2
+    two = np.r_[np.zeros(1, np.uint64), one[:-1]][: len(symbols)]
+    two[begin] = len(lexicon.hashes) + 2
+    width = np.uint64(lexicon.width)
+    ways = ((one << width | two) << width) | lexicon.rank.take(symbols)
     spelled = np.flatnonzero(~hit)
     names, first, where, times = np.unique(hashes[spelled], return_index=True, return_inverse=True, return_counts=True)
     first = spelled[first]
     held, to = cut(data, starts[first], ends[first])
     out = np.insert(held.astype(np.int64), to[1:], STOP)
-    return Parsed(symbols, text, keys, out, to + np.arange(len(to)), times, where, starts, ends, names)
+    return Parsed(symbols, text, (), out, to + np.arange(len(to)), times, where, starts, ends, names, ways)
 
 
 def _on_ways(code: Code, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,45 +353,143 @@ def _runs(bits: np.ndarray):
         i = k
 
 
-def word_bits(p: Parsed, lexicon: Lexicon, sizes: Sizes):
-    """(first symbol, last, symbol of each bit from there, its place in the code's lists, slots of the hashed predictors), in chunks."""
-    shift = np.uint64(64 - sizes.words)
-    for i, k in _runs(lexicon.code.lengths[p.symbols]):
-        owner, way = _on_ways(lexicon.code, p.symbols[i:k])
-        node, slots = lexicon.nodes.take(way), []
-        for key in p.keys:
-            h = key[i:k].take(owner)
-            h += node
-            h >>= shift
-            slots.append(h.view(np.int64))
-        yield i, k, owner, way, slots
+def _word_keys(ways: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashed contexts of symbols: the one before, the two before, and the one before the last."""
+    width = np.uint64(lexicon.width)
+    mask = (np.uint64(1) << width) - np.uint64(1)
+    one, two = lexicon.names.take((ways >> (width + width)).view(np.int64)), lexicon.names.take((ways >> width & mask).view(np.int64))
+    return one * _K, mix(one + two * _K), mix(two + np.uint64(0x77))
+
+
+def _split(ways: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """What stands before the last ``width`` bits, and these."""
+    return ways >> np.uint64(width), (ways & np.uint64((1 << width) - 1)).view(np.int64)
 
 
-def byte_bits(p: Parsed, sizes: Sizes):
-    """The same for the spelled segments: (first, last, segment of each bit, bits, slots)."""
+@dataclass
+class Shared:
+    """Some symbols after their contexts, sorted, with how many first bits each shares with the one before and how many it has of its own."""
+
+    lexicon: Lexicon
+    rank: np.ndarray
+    shared: np.ndarray
+    own: np.ndarray
+
+    @staticmethod
+    def of(lexicon: Lexicon, context: np.ndarray, rank: np.ndarray):
+        """(first item, what it and those after it share), in chunks."""
+        for i in range(0, len(rank), _ITEMS):
+            some = rank[i : i + _ITEMS]
+            shared = lexicon.shared(context[i : i + _ITEMS], some)
+            yield i, Shared(lexicon, some, shared, lexicon.lists[1].take(some) - shared)
+
+    def bits(self):
+        """(first item, last, first own bit, last, the item of each from there, its place in the code's lists), in smaller chunks."""
+        begin = self.lexicon.lists[0].take(self.rank)
+        begin += self.shared
+        at = np.r_[0, np.cumsum(self.own)]
+        begin -= at[:-1]
+        for i, k in _runs(self.own):
+            own = self.own[i:k]
+            way = np.repeat(begin[i:k], own)
+            way += np.arange(at[i], at[k])
+            yield i, k, at[i], at[k], np.repeat(np.arange(k - i), own), way
+
+
+def _shares(shared: np.ndarray, own: np.ndarray):
+    """For each first bit that some items share: which items have it of their own and others after them share it, where it stands among all own bits, and the first item after them that doesn't."""
+    place = firsts(own) - shared
+    for k in range(int(shared.max()) if len(shared) else 0):
+        own_way = shared <= k
+        begins = np.flatnonzero(own_way[:-1] & ~own_way[1:])
+        ends = np.flatnonzero(~own_way[:-1] & own_way[1:]) + 1
+        if len(ends) < len(begins):
+            ends = np.append(ends, len(shared))
+        yield k, begins, place.take(begins) + k, ends
+
+
+def _times(times: np.ndarray, shared: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How often each own bit comes, in all items that share it."""
+    out, sums = np.repeat(times, own), np.r_[0, np.cumsum(times)]
+    for _, begins, place, ends in _shares(shared, own):
+        out[place] = sums[ends] - sums[begins]
+    return out
+
+
+def _slots(key: np.ndarray, node: np.ndarray, shift: np.uint64) -> np.ndarray:
+    h = key + node
+    h >>= shift
+    return h.view(np.int64)
+
+
+def word_bits(ways: np.ndarray, lexicon: Lexicon, sizes: Sizes):
+    """(first item, what it and those after it share, their bits in smaller chunks: first, last, places in the code's lists, slots of the hashed predictors).
+
+    ``ways`` are sorted; bits that follow from the same contexts and bits before come once.
+    """
+    shift, nodes = np.uint64(64 - sizes.words), lexicon.lists[2]
+
+    def bits(some: np.ndarray, same: Shared):
+        for i, k, a, b, owner, way in same.bits():
+            node = nodes.take(way)
+            yield a, b, way, [_slots(key.take(owner), node, shift) for key in _word_keys(some[i:k], lexicon)]
+
+    for i, same in Shared.of(lexicon, *_split(ways, lexicon.width)):
+        yield i, same, bits(ways[i : i + len(same.own)], same)
+
+
+def _in_order(p: Parsed) -> tuple[np.ndarray, Parsed, np.ndarray]:
+    """The order of the spelled segments by their first bytes, they in this order, and how many first bytes each shares with the one before."""
+    n = len(p.at) - 1
+    size = np.diff(p.at) - 1
+    place = np.arange(_PREFIX)
+    begin = np.zeros((n, _PREFIX), np.uint8)
+    for k in range(_PREFIX):
+        go = np.flatnonzero(size > k)
+        begin[go, k] = p.data[p.at[go] + k]
+    both = begin.view(">u8").astype(np.uint64)
+    order = np.lexsort((both[:, 1], both[:, 0])) if n else np.zeros(0, np.int64)
+    begin, size = begin[order], size[order]
+    differs = begin[1:] != begin[:-1]
+    shared = np.where(differs.any(axis=1), differs.argmax(axis=1), len(place))
+    shared = np.minimum(shared, np.minimum(size[1:], size[:-1]))
+    data, at = cut(p.data, p.at[order], p.at[order + 1])
+    return order, Parsed(p.symbols, p.text, (), data, at, p.times[order], p.where), np.r_[np.zeros(min(n, 1), np.int64), shared]
+
+
+def _byte_times(p: Parsed, shared: np.ndarray) -> np.ndarray:
+    """How often each byte of ordered segments comes in those that begin alike up to it."""
+    out = np.repeat(p.times, np.diff(p.at))
+    sums, size = np.r_[0, np.cumsum(p.times)], np.diff(p.at)
+    for k in range(_PREFIX):
+        begins = np.flatnonzero(shared <= k)
+        some = np.diff(sums[np.r_[begins, len(size)]])
+        go = size[begins] > k
+        out[p.at[begins[go]] + k] = some[go]
+    return out
+
+
+def byte_bits(p: Parsed, shared: np.ndarray, sizes: Sizes):
+    """(the place in the data of each bit's byte, bits, slots) of ordered spelled segments, but for bytes that are shared with the one before."""
     shift = np.uint64(64 - sizes.bytes)
-    whole = np.r_[0, np.cumsum(BYTES.lengths[p.data])][p.at] if len(p.data) else np.zeros(len(p.at), np.int64)
-    for i, k in _runs(np.diff(whole)):
+    if not len(p.data):
+        return
+    whole = np.r_[0, np.cumsum(BYTES.lengths[p.data])]
+    for i, k in _runs(whole[p.at[1:]] - whole[p.at[:-1] + shared]):
         a, b = p.at[i], p.at[k]
         data, size = p.data[a:b].astype(np.uint64), np.diff(p.at[i : k + 1])
-        piece = np.repeat(np.arange(k - i), size)
         place = np.arange(b - a) - np.repeat(p.at[i:k] - a, size)
-        history, past = {}, np.full(b - a, 77, np.uint64)
-        for j in range(1, max(ORDERS) + 1):
-            shifted = np.r_[np.zeros(min(j, b - a), np.uint64), data[: max(b - a - j, 0)]]
-            past = np.where(place >= j, mix(past * _K + shifted + np.uint64(j)), past)
-            history[j] = past
+        own = np.flatnonzero(place >= np.repeat(shared[i:k], size))
         # All bytes so far: sums over the segment of values that tell byte and place.
         sums = np.r_[np.zeros(1, np.uint64), np.cumsum(mix((data << np.uint64(32)) + place.astype(np.uint64)))]
-        history[0] = mix(sums[:-1] - sums[p.at[i:k] - a][piece] + np.uint64(5))
-        owner, way = _on_ways(BYTES, p.data[a:b])
-        node, slots = _BYTE_NODES[way], []
-        for j in ORDERS:
-            h = history[j].take(owner)
-            h += node
-            h >>= shift
-            slots.append(h.view(np.int64))
-        yield i, k, piece[owner], BYTES.bit[way], slots
+        place = place.take(own)
+        history, past = {0: mix(sums.take(own) - sums.take(own - place) + np.uint64(5))}, np.full(len(own), 77, np.uint64)
+        for j in range(1, max(ORDERS) + 1):
+            past = np.where(place >= j, mix(past * _K + data.take(np.maximum(own - j, 0)) + np.uint64(j)), past)
+            history[j] = past
+        owner, way = _on_ways(BYTES, p.data[a:b].take(own))
+        node = _BYTE_NODES.take(way)
+        yield own.take(owner) + a, BYTES.bit.take(way), [_slots(history[j].take(owner), node, shift) for j in ORDERS]
 
 
 def new_counts(lexicon: Lexicon, sizes: Sizes) -> list[np.ndarray]:
@@ -333,20 +506,55 @@ def count(p: Parsed, lexicon: Lexicon, sizes: Sizes, counts: list[np.ndarray]) -
 
 def count_words(p: Parsed, lexicon: Lexicon, sizes: Sizes, counts: list[np.ndarray]) -> None:
     """Adds the symbols."""
+    pool = Ways()
+    for some in (pool.add(p), pool.close()):
+        if some is not None:
+            count_ways(*some, lexicon, sizes, counts)
+
+
+def count_ways(ways: np.ndarray, times: np.ndarray, lexicon: Lexicon, sizes: Sizes, counts: list[np.ndarray]) -> None:
+    """Adds different symbols after their contexts, sorted, each as often as it comes."""
+    code, width, shift = lexicon.code, lexicon.width, np.uint64(64 - sizes.words)
+    pairs, rank = _split(ways, width)
     # Without a context, each symbol adds to its way as often as it comes.
-    code, often = lexicon.code, np.bincount(p.symbols)
+    often = np.bincount(lexicon.ranked.take(rank), times).astype(np.int64)
     owner, way = _on_ways(code, np.flatnonzero(often))
     np.add.at(counts[0], code.node[way] * 2 + code.bit[way], often[often > 0][owner].astype(counts[0].dtype))
-    for _, _, _, way, slots in word_bits(p, lexicon, sizes):
-        bit = code.bit.take(way)
-        for table, s in zip(counts[1:], slots):
-            np.add.at(table, s * 2 + bit, np.ones(len(bit), table.dtype))
+    one, two = _split(pairs, width)
+    for j, context in enumerate((one, pairs, two.view(np.uint64))):
+        found, place, n = context, rank, times
+        if context is not pairs:
+            # Symbols after one context of two: different ones again, with the sums of their times.
+            room = 64 - 2 * width
+            large = times >> room > 0
+            both = (context << np.uint64(width) | rank.view(np.uint64)) << np.uint64(room)
+            both |= np.where(large, 0, times).view(np.uint64)
+            both.sort()
+            both, n = _split(both, room)
+            new = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+            found, place = _split(both.take(new), width)
+            n = np.add.reduceat(n, new)
+            if large.any():
+                np.add.at(n, np.searchsorted(both.take(new), context[large] << np.uint64(width) | rank[large].view(np.uint64)), times[large])
+        table = counts[j + 1]
+        _, _, nodes, bits = lexicon.lists
+        for first, same in Shared.of(lexicon, found, place):
+            often = _times(n[first : first + len(same.own)], same.shared, same.own).astype(table.dtype)
+            # As a context stands in ``ways``, with any other beside it where only one counts.
+            key = _word_keys(found[first : first + len(same.own)] << np.uint64((2, 1, 1)[j] * width), lexicon)[j]
+            for i, k, a, b, owner, way in same.bits():
+                slot = _slots(key[i:k].take(owner), nodes.take(way), shift)
+                slot <<= 1
+                slot += bits.take(way)
+                np.add.at(table, slot, often[a:b])
 
 
 def count_spelled(p: Parsed, sizes: Sizes, counts: list[np.ndarray]) -> None:
     """Adds the spelled segments, each as often as it comes."""
-    for i, _, piece, bit, slots in byte_bits(p, sizes):
-        weight = p.times[piece + i]
+    _, p, shared = _in_order(p)
+    times = _byte_times(p, shared)
+    for place, bit, slots in byte_bits(p, shared, sizes):
+        weight = times.take(place)
         for table, s in zip(counts[PREDICTORS:], slots):
             np.add.at(table, s * 2 + bit, weight.astype(table.dtype))
 
@@ -396,16 +604,27 @@ class Weights:
         rest = [j for j in range(PREDICTORS) if j not in self.gated]
         return [(self.gated[0], 14, 6), (self.gated[1], 8, 6), (rest[0], 4, 4), (rest[1], 0, 4)]
 
-    def see(self, bit: np.ndarray, codes: list[np.ndarray], times: np.ndarray | None = None) -> None:
-        """Counts some bits; in whole numbers, so in any order."""
+    def steps(self, tables: list[np.ndarray]) -> list[np.ndarray]:
+        """What the predictors' tables say where a bit is zero, then one, without the bit itself: parts of the number of a cell, by slot and bit."""
+        out = []
+        for table, (_, at, size) in zip(tables, sorted(self._fields())):
+            parts = (_SEEN_STEP if size == 6 else _STEP).reshape(2, -1).T[:, :2]
+            out.append(np.ascontiguousarray(parts).take(table, axis=0).ravel())
+        return out
+
+    def see(self, bit: np.ndarray, steps: list[np.ndarray], slots: list[np.ndarray], times: np.ndarray) -> None:
+        """Counts some bits, of which ``slots`` are the places in ``steps``; in whole numbers, so in any order."""
         if self.seen is None:
             self.seen = np.zeros(CELLS, np.int64)
-        side = bit.astype(np.intp) << 16
-        cell = side << 4
-        for j, at, size in self._fields():
-            part = codes[j] + side
-            cell += (_SEEN_STEP if size == 6 else _STEP).take(part).astype(np.intp) << at
-        np.add.at(self.seen, cell, np.ones(len(cell), np.int64) if times is None else times.astype(np.int64))
+        cell = bit.astype(np.int64)
+        cell <<= 20
+        for table, slot, (_, at, _) in zip(steps, slots, sorted(self._fields())):
+            place = slot << 1
+            place += bit
+            part = table.take(place).astype(np.int64)
+            part <<= at
+            cell += part
+        np.add.at(self.seen, cell, times)
 
     def settle(self) -> None:
         """The weights that foretell all that was seen best, found by Newton's steps for each gate, and the refining table at these."""
@@ -493,13 +712,33 @@ class Model:
         self.see_spelled(p)
 
     def see_words(self, p: Parsed) -> None:
-        code = self.lexicon.code
-        for _, _, _, way, slots in word_bits(p, self.lexicon, self.sizes):
-            self.words.see(code.bit.take(way), [t.take(s) for t, s in zip(self.tables, [code.node.take(way), *slots])])
+        pool = Ways()
+        for some in (pool.add(p), pool.close()):
+            if some is not None:
+                self.see_ways(*some)
+
+    def see_ways(self, ways: np.ndarray, times: np.ndarray) -> None:
+        """The same of different symbols after their contexts, sorted, each as often as it comes."""
+        code, bits = self.lexicon.code, self.lexicon.lists[3]
+        steps = self._word_steps
+        for i, same, chunks in word_bits(ways, self.lexicon, self.sizes):
+            often = _times(times[i : i + len(same.own)], same.shared, same.own)
+            for a, b, way, slots in chunks:
+                self.words.see(bits.take(way), steps, [code.node.take(way), *slots], often[a:b])
 
     def see_spelled(self, p: Parsed) -> None:
-        for i, _, piece, bit, slots in byte_bits(p, self.sizes):
-            self.bytes.see(bit, [t.take(s) for t, s in zip(self.tables[PREDICTORS:], slots)], p.times[piece + i])
+        _, p, shared = _in_order(p)
+        times, steps = _byte_times(p, shared), self._byte_steps
+        for place, bit, slots in byte_bits(p, shared, self.sizes):
+            self.bytes.see(bit, steps, slots, times.take(place))
+
+    @cached_property
+    def _word_steps(self) -> list[np.ndarray]:
+        return self.words.steps(self.tables[:PREDICTORS])
+
+    @cached_property
+    def _byte_steps(self) -> list[np.ndarray]:
+        return self.bytes.steps(self.tables[PREDICTORS:])
 
     def settle(self) -> None:
         """Weights and refining tables from all that was seen."""
@@ -513,10 +752,26 @@ class Model:
 
     def spelled(self, p: Parsed) -> np.ndarray:
         """What each spelled segment costs."""
-        out = np.zeros(len(p.at) - 1, np.int64)
-        for i, k, piece, bit, slots in byte_bits(p, self.sizes):
-            cost = self.bytes.cost(bit, [t[s] for t, s in zip(self.tables[PREDICTORS:], slots)])
-            out[i:k] = np.bincount(piece, cost, k - i).astype(np.int64)
+        if not len(p.data):
+            return np.zeros(len(p.at) - 1, np.int64)
+        order, p, shared = _in_order(p)
+        size, costs = np.diff(p.at), np.zeros(len(p.data))
+        for place, bit, slots in byte_bits(p, shared, self.sizes):
+            cost = self.bytes.cost(bit, [t.take(s) for t, s in zip(self.tables[PREDICTORS:], slots)])
+            # Whole numbers below 2^53 are added exactly.
+            costs[place[0] : place[-1] + 1] += np.bincount(place - place[0], cost)
+        sums = np.r_[0, np.cumsum(costs.astype(np.int64))]
+        found = np.diff(sums[p.at])
+        # Bytes that are shared cost what they cost where they came first.
+        for k in range(_PREFIX):
+            begins = np.flatnonzero(shared <= k)
+            at = p.at[begins] + np.minimum(k, size[begins] - 1)
+            often = np.diff(np.r_[begins, len(size)])
+            here = np.repeat(np.where(size[begins] > k, costs[at], 0).astype(np.int64), often)
+            here[begins] = 0
+            found += here
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def spelled_once(self, p: Parsed) -> np.ndarray:
@@ -538,11 +793,50 @@ class Model:
 
     def cost(self, p: Parsed) -> np.ndarray:
         """What each symbol costs, spelling included."""
-        out, code = np.zeros(len(p.symbols), np.int64), self.lexicon.code
-        first = _WHOLE[0][self.tables[0][code.node]]
-        for i, k, owner, way, slots in word_bits(p, self.lexicon, self.sizes):
-            cost = self.words.cost(code.bit.take(way), [t.take(s) for t, s in zip(self.tables[1:], slots)], first.take(way))
-            # Whole numbers below 2^53 are added exactly.
-            out[i:k] = np.bincount(owner, cost, k - i).astype(np.int64)
-        out[p.symbols == ESCAPE] += self.spelled_once(p)[p.where]
+        return self.costs([p])[0]
+
+    def costs(self, blocks: list[Parsed]) -> list[np.ndarray]:
+        """The same for each of some blocks, where what they have in common is worked on once."""
+        if any(p.keys for p in blocks):
+            out = np.concatenate([self._apart(p) for p in blocks])
+        else:
+            ways = np.concatenate([p.ways for p in blocks])
+            order = np.argsort(ways)
+            ways = ways.take(order)
+            new = np.r_[np.ones(min(len(ways), 1), bool), ways[1:] != ways[:-1]]
+            out = np.empty(len(ways), np.int64)
+            out[order] = self._of_ways(ways[new]).take(np.cumsum(new) - 1)
+        out = np.split(out, np.cumsum([len(p.symbols) for p in blocks])[:-1])
+        if len(blocks) == 1:
+            spelled = [self.spelled_once(blocks[0])]
+        else:
+            whole, where = _joined(blocks)
+            spelled = self.spelled_once(whole).take(where)
+            spelled = np.split(spelled, np.cumsum([len(p.names) for p in blocks])[:-1])
+        for p, own, costs in zip(blocks, out, spelled):
+            own[p.symbols == ESCAPE] += costs[p.where]
         return out
+
+    def _of_ways(self, ways: np.ndarray) -> np.ndarray:
+        """What each of different symbols after their contexts, sorted, costs without its spelling."""
+        out, bits = np.zeros(len(ways), np.int64), self.lexicon.lists[3]
+        first = _WHOLE[0].take(self.tables[0].take(self.lexicon.code.node))
+        for i, same, chunks in word_bits(ways, self.lexicon, self.sizes):
+            costs = np.empty(int(same.own.sum()), np.int64)
+            for a, b, way, slots in chunks:
+                costs[a:b] = self.words.cost(bits.take(way), [t.take(s) for t, s in zip(self.tables[1:], slots)], first.take(way))
+            sums = np.r_[0, np.cumsum(costs)]
+            here = out[i : i + len(same.own)]
+            here += np.diff(sums[np.r_[0, np.cumsum(same.own)]])
+            for k, begins, place, ends in _shares(same.shared, same.own):
+                here[same.shared > k] += np.repeat(costs[place], ends - begins - 1)
+        return out
+
+    def _apart(self, p: Parsed) -> np.ndarray:
+        """The same for symbols with contexts of their own."""
+        code, shift = self.lexicon.code, np.uint64(64 - self.sizes.words)
+        owner, way = _on_ways(code, p.symbols)
+        node = code.node.take(way)
+        slots = [_slots(key.take(owner), mix((node + 1).astype(np.uint64)) * _K, shift) for key in p.keys]
+        cost = self.words.cost(code.bit.take(way), [t.take(s) for t, s in zip(self.tables[1:], slots)], _WHOLE[0][self.tables[0][node]])
+        return np.bincount(owner, cost, len(p.symbols)).astype(np.int64)

@@ -14,7 +14,6 @@ all others are joined to the places where they occur.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import checkpoint, table
-from granary.llm.context_mixing import CELLS, END, ESCAPE, STOP, UNIT, Lexicon, Model, Parsed, Pool, Sizes, coded, count_spelled, count_words, cut, new_counts, parse, segments
+from granary.llm.context_mixing import CELLS, END, ESCAPE, STOP, UNIT, Lexicon, Model, Parsed, Pool, Sizes, Ways, coded, count_spelled, count_ways, cut, new_counts, parse, segments
 from granary.llm.tokens import Index, column_bytes, lowered, word_hashes, words
 
 #: Words in the table that goes to all tasks, and segments in the lexicon.
 HEAD, LEXICON = 1_000_000, 1 << 16
-#: Texts are worked on in blocks of about so many bytes; equal spelled segments of a block are worked on once.
-#: A task holds about 60 bytes for each.
+#: Texts are worked on in blocks of about so many bytes.  A task holds about 60 bytes for each.
 _BLOCK = 3 << 20
+#: Symbols whose texts are scored together, so that equal ones after equal contexts are worked on once.
+_TOGETHER = 1 << 21
 _END = np.uint64(1)
 #: Counts of words and segments that a task holds before it adds up equal ones.
 _TALLY = 1 << 20
@@ -137,6 +137,7 @@ def lexicon_of(gathered: DataFrame, most: int = LEXICON) -> Lexicon:
 
 
 _NUMBERS = (np.uint8, np.uint16, np.uint32, np.uint64)
+_CODEC = pa.Codec("zstd", 1)
 
 
 def _packed(piece: np.ndarray) -> tuple[int, bytes]:
@@ -145,14 +146,15 @@ def _packed(piece: np.ndarray) -> tuple[int, bytes]:
     kind = next(i for i, t in enumerate(_NUMBERS) if int(piece.max()) <= np.iinfo(t).max)
     counts = piece[some].astype(_NUMBERS[kind]).tobytes()
     if len(some) * 16 > len(piece):
-        return kind, zlib.compress(np.packbits(piece != 0).tobytes().ljust(_PIECE // 8, b"\0") + counts, 1)
+        return kind, np.uint32(len(some)).tobytes() + _CODEC.compress(np.packbits(piece != 0).tobytes().ljust(_PIECE // 8, b"\0") + counts, asbytes=True)
     return kind + 4, some.astype(np.uint16).tobytes() + counts
 
 
 def _add(total: np.ndarray, kind: int, packed: bytes) -> None:
     numbers = _NUMBERS[kind % 4]
     if kind < 4:
-        packed = zlib.decompress(packed)
+        size = int(np.frombuffer(packed, np.uint32, 1)[0])
+        packed = _CODEC.decompress(memoryview(packed)[4:], _PIECE // 8 + size * numbers().itemsize)
         places = np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, _PIECE // 8)))
         total[places] += np.frombuffer(packed, numbers, len(places), _PIECE // 8)
     else:
@@ -169,14 +171,15 @@ def count_tables(texts: DataFrame, lexicon: Lexicon, sizes: Sizes) -> tuple[list
     held = spark.sparkContext.broadcast((lexicon, sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, named, pool = None, None, Pool()
+        counts, named, pool, ways = None, None, Pool(), Ways()
         for _, data, at in _blocks(batches, 0):
             if counts is None:
                 counts, named = new_counts(*held.value), np.zeros(len(held.value[0].hashes) + 2, np.uint64)
                 todo = np.ones(len(named), bool)
                 todo[[ESCAPE, END]] = False
             p = parse(data, at, held.value[0])
-            count_words(p, *held.value, counts)
+            if (same := ways.add(p)) is not None:
+                count_ways(*same, *held.value, counts)
             if (some := pool.add(p)) is not None:
                 count_spelled(some, held.value[1], counts)
             # The words of symbols that come for the first time.
@@ -185,6 +188,8 @@ def count_tables(texts: DataFrame, lexicon: Lexicon, sizes: Sizes) -> tuple[list
             symbols, first = np.unique(symbols[new], return_index=True)
             named[symbols] = _word_of(*cut(data, p.starts[new[first]], p.ends[new[first]]))[0]
             todo[symbols] = False
+        if (same := ways.close()) is not None:
+            count_ways(*same, *held.value, counts)
         if (some := pool.close()) is not None:
             count_spelled(some, held.value[1], counts)
         if counts is not None:
@@ -238,12 +243,15 @@ def learn(docs: DataFrame, model: Model, n_words: int) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(held.value.lexicon, held.value.sizes, held.value.tables)
-        pool = Pool()
+        pool, ways = Pool(), Ways()
         for _, data, at in _blocks(batches, 0):
             p = parse(data, at, own.lexicon)
-            own.see_words(p)
+            if (same := ways.add(p)) is not None:
+                own.see_ways(*same)
             if (some := pool.add(p)) is not None:
                 own.see_spelled(some)
+        if (same := ways.close()) is not None:
+            own.see_ways(*same)
         if (some := pool.close()) is not None:
             own.see_spelled(some)
         for t, w in enumerate((own.words, own.bytes)):
@@ -339,6 +347,15 @@ def lm_score(docs: DataFrame, *, head: int = HEAD) -> DataFrame:
         named[END] = _END
         log, index = np.log10(times + 0.5), Index(known)
         names = ["row", "doc_id", "key", "tail", "n", "n_tokens", "n_known", "base", "score", "n_bytes"]
+        none = lambda k, t: pa.nulls(k, t)
+        together, size = [], 0
+
+        def scored():
+            for (p, row, ids, *said), costs in zip(together, model.costs([t[0] for t in together])):
+                n = len(row)
+                score = np.bincount(p.text, costs, n) / UNIT * -math.log10(2)
+                yield pa.RecordBatch.from_arrays([row, ids, row, pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, np.int64)), *said[:3], pa.array(score), said[3]], names)
+
         for (row, ids), data, at in _blocks(batches, 2):
             n, p = len(at) - 1, parse(data, at, model.lexicon)
             # The end of each text is one more word.
@@ -348,10 +365,13 @@ def lm_score(docs: DataFrame, *, head: int = HEAD) -> DataFrame:
             hit = found[which]
             base = np.bincount(owner[hit], (log[i] if len(log) else np.zeros(len(i)))[which[hit]], n).astype(np.float64)
             n_known, counts = np.bincount(owner[hit], minlength=n), np.bincount(owner, minlength=n)
-            score = np.bincount(p.text, model.cost(p), n) / UNIT * -math.log10(2)
             number = row.to_numpy()
-            none = lambda k, t: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([row, ids, row, pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, np.int64)), pa.array(counts.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score), pa.array(np.diff(at).astype(np.int64))], names)
+            together.append((p, row, ids, pa.array(counts.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(np.diff(at).astype(np.int64))))
+            size += len(p.symbols)
+            if size >= _TOGETHER:
+                yield from scored()
+                together.clear()
+                size = 0
             pairs = np.stack([owner[~hit].astype(np.uint64), words_[which[~hit]]], axis=1)
             pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
             new = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]) if len(pairs) else np.zeros(0, np.int64)
@@ -360,6 +380,8 @@ def lm_score(docs: DataFrame, *, head: int = HEAD) -> DataFrame:
                 some = new[a : a + 65536]
                 k = len(some)
                 yield pa.RecordBatch.from_arrays([pa.array(number[pairs[some, 0].astype(np.int64)]), none(k, ids.type), pa.array(np.ascontiguousarray(pairs[some, 1]).view(np.int64)), pa.array(np.ones(k, bool)), pa.array(often[a : a + 65536].astype(np.int64)), *[none(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]], names)
+        if together:
+            yield from scored()
 
     kind = slim.schema["doc_id"].dataType.simpleString()
     # The order of a row in the scan names it until the end; it is made and used in this one plan only.
