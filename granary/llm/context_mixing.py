@@ -331,7 +331,7 @@ def parse(data: np.ndarray, at: np.ndarray, lexicon: Lexicon) -> Parsed:
     names, first, where, times = np.unique(hashes[spelled], return_index=True, return_inverse=True, return_counts=True)
     first = spelled[first]
     held, to = cut(data, starts[first], ends[first])
-    out = np.insert(held.astype(np.int64), to[1:], STOP)
+    out = np.insert(held.astype(np.int16), to[1:], STOP)
     return Parsed(symbols, text, (), out, to + np.arange(len(to)), times, where, starts, ends, names, ways)
 
 
@@ -612,13 +612,20 @@ class Weights:
             out.append(np.ascontiguousarray(parts).take(table, axis=0).ravel())
         return out
 
-    def see(self, bit: np.ndarray, steps: list[np.ndarray], slots: list[np.ndarray], times: np.ndarray) -> None:
-        """Counts some bits, of which ``slots`` are the places in ``steps``; in whole numbers, so in any order."""
+    def see(self, bit: np.ndarray, steps: list[np.ndarray], slots: list[np.ndarray], times: np.ndarray, first: np.ndarray | None = None) -> None:
+        """Counts some bits, of which ``slots`` are the places in ``steps``; in whole numbers, so in any order.
+
+        ``first`` is the step of the first predictor, where that is known.
+        """
         if self.seen is None:
             self.seen = np.zeros(CELLS, np.int64)
         cell = bit.astype(np.int64)
         cell <<= 20
-        for table, slot, (_, at, _) in zip(steps, slots, sorted(self._fields())):
+        fields = sorted(self._fields())
+        if first is not None:
+            cell += first.astype(np.int64) << fields[0][1]
+            fields = fields[1:]
+        for table, slot, (_, at, _) in zip(steps, slots, fields):
             place = slot << 1
             place += bit
             part = table.take(place).astype(np.int64)
@@ -720,11 +727,12 @@ class Model:
     def see_ways(self, ways: np.ndarray, times: np.ndarray) -> None:
         """The same of different symbols after their contexts, sorted, each as often as it comes."""
         code, bits = self.lexicon.code, self.lexicon.lists[3]
-        steps = self._word_steps
+        steps = self._word_steps[1:]
+        first = self._word_steps[0].take(code.node * 2 + code.bit)
         for i, same, chunks in word_bits(ways, self.lexicon, self.sizes):
             often = _times(times[i : i + len(same.own)], same.shared, same.own)
             for a, b, way, slots in chunks:
-                self.words.see(bits.take(way), steps, [code.node.take(way), *slots], often[a:b])
+                self.words.see(bits.take(way), steps, slots, often[a:b], first.take(way))
 
     def see_spelled(self, p: Parsed) -> None:
         _, p, shared = _in_order(p)
